@@ -78,7 +78,6 @@ def describe(found, rules, id_col="path", keep=(), snippet=True):
         risk_rank(F.col("risk_level")).alias("risk_rank"),
         "phase",
         "rule_no",
-        "match_no",
     )
 
 

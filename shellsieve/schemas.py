@@ -49,13 +49,12 @@ REPORT_FINDING = T.StructType([
     T.StructField("risk_score", T.FloatType()),
 ])
 
-# A findings table adds the rule and the discovery order.
+# A findings table adds the rule and its place in the order of passes.
 FINDINGS = T.StructType(REPORT_FINDING.fields + [
     T.StructField("rule_id", T.StringType()),
     T.StructField("risk_rank", T.IntegerType()),
     T.StructField("phase", T.IntegerType()),
     T.StructField("rule_no", T.IntegerType()),
-    T.StructField("match_no", T.LongType()),
 ])
 
 LEVEL_COUNTS = T.StructType([

@@ -1,6 +1,6 @@
 """Scripts from file trees and from columns of tables."""
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import functions as F
 
 from shellsieve.functions.text import extension_of
@@ -42,26 +42,35 @@ def read_scripts(spark, path, recursive=False):
     are left out. Names starting with '.' or '_' and empty files are not listed by Spark's
     file sources.
     """
-    reader = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
-    )
     try:
-        files = reader.load(path)
+        files = _files(spark, path, recursive)
+    except SparkRuntimeException as error:
+        # Folders named key=value next to others are taken for broken partitions.
+        if recursive or error.getCondition() != "CONFLICTING_DIRECTORY_STRUCTURES":
+            raise
+        files = _files(spark, path, recursive=True)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], SCRIPTS)
     if not recursive and not any(char in path for char in "*?[{"):
-        # Folders named key=value are read as partitions; only direct children count.
+        # Only direct children count, even where folders were read as partitions.
         root = F.lit("/" + path.split("://")[-1].strip("/"))
         parent = F.regexp_replace("path", "/[^/]*$", "")
         files = files.where(F.endswith(parent, root) | F.endswith(F.col("path"), root))
     return with_readable(files.select("path", "content"))
 
 
+def _files(spark, path, recursive):
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", str(recursive).lower())
+        .option("ignoreMissingFiles", "true")
+        .option("ignoreCorruptFiles", "true")
+        .load(path)
+    )
+
+
 def table_scripts(table, id_col, text_col, keep=()):
     """Any text column as a table of scripts."""
     text = F.col(text_col)

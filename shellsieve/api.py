@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 
 from shellsieve.catalog import builtin_rules
-from shellsieve.operators.findings import totals
+from shellsieve.operators.findings import counts_by_level, totals
 from shellsieve.operators.scan import scan
 from shellsieve.plans.report import report, write_report
 from shellsieve.sources.files import read_scripts
@@ -20,7 +20,7 @@ class Analysis:
     started: datetime
 
     def totals(self):
-        return totals(self.scripts, self.findings)
+        return totals(self.scripts, counts_by_level(self.findings))
 
     def report(self, form="text", **options):
         return report(form, self.scripts, self.findings, self.started, **options)

@@ -15,7 +15,7 @@ MARK = "\ufdd0"
 # noncharacters of the same size, so positions and matches stay the same.
 STAND_IN = "\ufddf"
 
-_STRIDES = "transform(sequence(0, 30), bit -> shiftleft(1, bit))"
+_STRIDES = "array(" + ", ".join(str(1 << bit) for bit in range(31)) + ")"
 
 
 def let(value, body):
@@ -61,7 +61,7 @@ def match_starts(pieces, in_bytes=None):
 
 def _running(steps):
     """Running combination of ``steps``: element i covers steps 0..i."""
-    return F.aggregate(
+    doubled = F.aggregate(
         F.filter(F.expr(_STRIDES), lambda stride: stride < F.size(steps)),
         steps,
         lambda reached, stride: F.transform(
@@ -71,6 +71,7 @@ def _running(steps):
             ),
         ),
     )
+    return F.when(F.size(steps) > 1, doubled).otherwise(steps)
 
 
 def _joined(before, after):

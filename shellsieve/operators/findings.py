@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shellsieve.functions.levels import rank_of
 from shellsieve.schemas import RISK_LEVELS
-from shellsieve.sources.checkpoints import reliable
+from shellsieve.sources.checkpoints import stored
 
 # Order in which a scan meets its findings: scripts by path, then the passes.
 DISCOVERY = ("file_path", "phase", "rule_no", "line", "column")
@@ -34,10 +34,13 @@ def counts_by(findings, *keys):
     return findings.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("findings"))
 
 
-def totals(scripts, findings):
-    """One row: scripts (readable or not), findings and findings per level."""
-    counted = scripts.agg(F.count(F.lit(1)).cast("long").alias("total_scripts"))
-    both = counted.unionByName(counts_by_level(findings), allowMissingColumns=True)
+def totals(scripts, counted):
+    """One row: scripts (readable or not), findings and findings per level.
+
+    ``counted`` is a one-row table of ``counts_by_level`` or ``level_totals``.
+    """
+    scripts = scripts.agg(F.count(F.lit(1)).cast("long").alias("total_scripts"))
+    both = scripts.unionByName(counted, allowMissingColumns=True)
     return both.agg(*[F.max(name).alias(name) for name in both.columns])
 
 
@@ -59,14 +62,17 @@ def numbered(findings, order, name="finding_no"):
     """``findings`` with their position 1..n in ``order``, computed in parallel.
 
     Rows are range-partitioned and sorted, so a row's number is its place in its partition
-    plus the size of the partitions before it. The sorted rows are checkpointed: the
-    partition bounds come from sampling and must be the same for counting and numbering.
+    plus the size of the partitions before it. The findings are stored first, so that
+    sampling the bounds does not scan the texts a second time; the sorted rows are stored
+    too, because counting and numbering must see the same bounds.
     """
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ranged = reliable(
-        findings.repartitionByRange(*order)
+    ranged = stored(
+        stored(findings, "findings")
+        .repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .select("*", F.spark_partition_id().alias("__part"), local.alias("__local"))
+        .select("*", F.spark_partition_id().alias("__part"), local.alias("__local")),
+        "sorted",
     )
     # One row per partition of the sort, so the window over all of them is small.
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

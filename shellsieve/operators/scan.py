@@ -15,7 +15,8 @@ from shellsieve.functions.positions import (
 from shellsieve.functions.text import lines_of, snippet_at
 from shellsieve.operators.commands import marked_commands, may_hold_command, name_at_start
 
-_TEXT, _FOLDED, _HITS = "__text", "__folded", "__hits"
+# Columns of the text under scan, its lower-case form, and what was found in it.
+TEXT, FOLDED, HITS = "__text", "__folded", "__hits"
 
 # The one character outside ASCII that lower() does not bring to the ASCII letter it folds to.
 _LONG_S = "\u017f"
@@ -30,18 +31,18 @@ def matches(texts, rules, text_col="content", keep=(), snippet=False, value=Fals
     keep = list(keep)
     if not rules:
         return _no_matches(texts, keep, snippet, value)
-    hits = _all_hits(F.col(_TEXT), rules, value)
+    hits = _all_hits(F.col(TEXT), rules, value)
     if snippet:
-        hits = _with_snippets(hits, F.col(_TEXT))
+        hits = _with_snippets(hits, F.col(TEXT))
     return (
-        texts.select(*keep, F.col(text_col).alias(_TEXT))
-        .withColumn(_FOLDED, F.lower(_TEXT))
-        .select(*keep, hits.alias(_HITS))
+        texts.select(*keep, F.col(text_col).alias(TEXT))
+        .withColumn(FOLDED, F.lower(TEXT))
+        .select(*keep, hits.alias(HITS))
         # Outer, then filtered: a plain explode would have its input evaluated a second
         # time by an inferred "array is not empty" filter below the projection.
-        .select(*keep, F.explode_outer(_HITS).alias(_HITS))
-        .where(F.col(_HITS).isNotNull())
-        .select(*keep, f"{_HITS}.*")
+        .select(*keep, F.explode_outer(HITS).alias(HITS))
+        .where(F.col(HITS).isNotNull())
+        .select(*keep, f"{HITS}.*")
     )
 
 
@@ -143,6 +144,15 @@ def _marked(rule_id, marked, values, value):
     return F.struct(*columns, *([values.alias("values")] if value else []))
 
 
+def command_names(text, names):
+    """Array of the names of all commands in ``names``, in order."""
+    pieces = pieces_of(marked_commands(text, names))
+    return F.transform(
+        let(pieces, lambda p: F.slice(p, F.lit(2), F.size(p))),
+        lambda piece: name_at_start(piece, names),
+    )
+
+
 def _lookup(mapping):
     return F.create_map(*[F.lit(part) for pair in mapping.items() for part in pair])
 
@@ -168,13 +178,13 @@ def needs_condition(rule):
     """Cheap literal test that every text with a match passes; None when there is none."""
     if not rule.needs:
         return None
-    source = _FOLDED if rule.caseless else _TEXT
+    source = FOLDED if rule.caseless else TEXT
     condition = " AND ".join(
         "(" + " OR ".join(f"contains({source}, '{literal}')" for literal in group) + ")"
         for group in rule.needs
     )
     if rule.caseless:
-        condition = f"({condition}) OR contains({_TEXT}, '{_LONG_S}')"
+        condition = f"({condition}) OR contains({TEXT}, '{_LONG_S}')"
     return F.expr(condition)
 
 

@@ -271,6 +271,9 @@ FROM command_matches""")
         _ALL,
         "SELECT finding_type, rule_id, count(*)::BIGINT AS findings FROM findings GROUP BY ALL",
     )
+    sql["finding_type_levels"] = _with(
+        _ALL, f"SELECT finding_type, {_COUNTS} FROM findings GROUP BY finding_type"
+    )
     sql["scan_totals"] = _with(_ALL, f"""SELECT (SELECT count(*) FROM scripts)::BIGINT AS
   total_scripts, {_COUNTS} FROM findings
 WHERE regexp_extract(file_path, '\\d+')::BIGINT % 5 <> 0""".replace("\\\\", "\\"))

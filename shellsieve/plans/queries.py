@@ -10,8 +10,10 @@ from shellsieve.catalog import (
 )
 from shellsieve.functions import levels, text
 from shellsieve.operators.commands import commands
+from shellsieve.operators import findings
+from shellsieve.operators.counts import level_totals, rule_counts, totals_by_rule
 from shellsieve.operators.findings import (
-    at_least, by_level_text, by_severity, counts_by, counts_by_level, numbered, totals,
+    at_least, by_level_text, by_severity, counts_by, numbered,
 )
 from shellsieve.operators.scan import matches, scan
 from shellsieve.operators.tracelog import parse_trace, trace_summary
@@ -94,9 +96,10 @@ def dangerous_commands(spark, sf_dir):
 
 
 def command_counts(spark, sf_dir):
-    found = _matches(spark, sf_dir, _command_rules())
+    counts = rule_counts(sample_scripts(spark, sf_dir), _command_rules())
     names = rules_table(spark, _command_rules()).select("rule_id", "command_name", "risk_level")
-    return counts_by(found.join(F.broadcast(names), "rule_id"), "command_name", "risk_level")
+    summed = counts.groupBy("rule_id").agg(F.sum("findings").cast("long").alias("findings"))
+    return summed.join(F.broadcast(names), "rule_id").drop("rule_id")
 
 
 def command_args(spark, sf_dir):
@@ -118,16 +121,22 @@ def findings_filtered_high(spark, sf_dir):
     return _without_texts(at_least(_findings(spark, sf_dir), "High"))
 
 
-def level_totals(spark, sf_dir):
-    return counts_by_level(_findings(spark, sf_dir, snippet=False))
+def counts_by_level(spark, sf_dir):
+    return level_totals(rule_counts(sample_scripts(spark, sf_dir)))
 
 
-def level_totals_per_script(spark, sf_dir):
-    return counts_by_level(_findings(spark, sf_dir, snippet=False), "file_path")
+def counts_by_level_per_script(spark, sf_dir):
+    scripts = sample_scripts(spark, sf_dir).withColumnRenamed("path", "file_path")
+    return level_totals(rule_counts(scripts, keep=["file_path"]), None, "file_path")
 
 
 def counts_by_rule(spark, sf_dir):
-    return counts_by(_findings(spark, sf_dir, snippet=False), "finding_type", "rule_id")
+    return totals_by_rule(rule_counts(sample_scripts(spark, sf_dir))).drop("risk_level")
+
+
+def finding_type_levels(spark, sf_dir):
+    """Counted from full findings rather than from counts per text."""
+    return findings.counts_by_level(_findings(spark, sf_dir, snippet=False), "finding_type")
 
 
 def _files_with_invalid_bytes(spark, sf_dir):
@@ -142,7 +151,7 @@ def _files_with_invalid_bytes(spark, sf_dir):
 
 def scan_totals(spark, sf_dir):
     scripts = with_readable(_files_with_invalid_bytes(spark, sf_dir))
-    return totals(scripts, scan(scripts, snippet=False))
+    return findings.totals(scripts, level_totals(rule_counts(scripts)))
 
 
 def utf8_gate(spark, sf_dir):
@@ -283,7 +292,8 @@ def tokens_by_lang_source(spark, sf_dir):
 
 def ignored_rules(spark, sf_dir):
     rules = add_rules(ignore_rules(builtin_rules(), IGNORED), [TOKEN_RULE])
-    return counts_by(_findings(spark, sf_dir, rules=rules, snippet=False), "rule_id")
+    counts = rule_counts(sample_scripts(spark, sf_dir), rules)
+    return totals_by_rule(counts, rules).select("rule_id", "findings")
 
 
 def text_tables_counts(spark, sf_dir):
@@ -293,8 +303,10 @@ def text_tables_counts(spark, sf_dir):
         ("conversations", "conv_id", "text"), ("benchmark", "item_id", "text"),
     ):
         texts = table_scripts(_table(spark, sf_dir, table), id_col, text_col)
-        counted = totals(texts, scan(texts, _regex_rules(), snippet=False))
-        parts.append(counted.select(F.lit(table).alias("table_name"), "*"))
+        counted = level_totals(rule_counts(texts, _regex_rules()))
+        parts.append(
+            findings.totals(texts, counted).select(F.lit(table).alias("table_name"), "*")
+        )
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -391,10 +403,9 @@ def all_queries():
         level_names, parse_levels, text_line_stats, line_of_offset, offset_of_line,
         html_escape_pages, strip_quotes_values, custom_rule_tokens, tokens_by_lang_source,
         text_tables_counts, report_text, report_html, report_json, report_json_roundtrip,
+        counts_by_level, counts_by_level_per_script, finding_type_levels,
         file_source_scan, stream_scan, stream_level_windows, trace_log_events, trace_log_summary,
     ):
         found[query.__name__] = query
-    found["counts_by_level"] = level_totals
-    found["counts_by_level_per_script"] = level_totals_per_script
     found["ignore_rules_antijoin"] = ignored_rules
     return found

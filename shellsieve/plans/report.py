@@ -48,7 +48,7 @@ def report(form, scripts, findings, started=None, ended=None, language="en",
         raise ValueError(f"unknown report format {form!r}, expected one of {FORMATS}")
     order = by_level_text() if form == "html" and legacy_html_order else by_severity()
     listed = numbered(findings, order)
-    summary = totals(scripts, listed)
+    summary = totals(scripts, counts_by_level(listed))
     level = risk_level_name(F.col("risk_level"), language)
     if form == "html":
         return _rows(0, _html_head(summary, clock, language)).unionAll(

@@ -1,16 +1,18 @@
 """Where intermediate results are cut off from their lineage."""
 
+import functools
 import tempfile
 import uuid
 
 
 def checkpoint_root(spark):
     """The folder the cluster shares for checkpoints; a temporary one only where unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="shellsieve-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+    return spark.conf.get("spark.checkpoint.dir", None) or _test_folder()
+
+
+@functools.cache
+def _test_folder():
+    return tempfile.mkdtemp(prefix="shellsieve-")
 
 
 def shared_folder(spark, purpose):
@@ -18,9 +20,8 @@ def shared_folder(spark, purpose):
     return f"{checkpoint_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def reliable(df):
-    """``df`` written to the shared folder and cut off from what produced it."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint()
+def stored(df, purpose):
+    """``df`` written once to the shared folder and read back, cut off from its lineage."""
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

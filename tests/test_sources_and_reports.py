@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from shellsieve import analyze, builtin_rules, report, scan, write_report
 from shellsieve.catalog import Rule, add_rules, ignore_rules, regex_rule
-from shellsieve.operators.findings import by_severity, numbered, totals
+from shellsieve.operators.counts import level_totals, rule_counts
+from shellsieve.operators.findings import by_severity, counts_by_level, numbered, totals
 from shellsieve.plans.report import FORMATS
 from shellsieve.sources import reports
 from shellsieve.sources.files import read_scripts, table_scripts
@@ -43,7 +44,7 @@ def test_files(spark, tree):
     assert names(read_scripts(spark, f"{tree}/f")) == ["f"]
     assert names(read_scripts(spark, f"{tree}/d.txt")) == []
     assert names(read_scripts(spark, f"{tree}/nothing")) == []
-    counted = totals(everything, scan(everything)).first().asDict()
+    counted = totals(everything, level_totals(rule_counts(everything))).first().asDict()
     assert counted == {"total_scripts": 7, "total_findings": 7, "critical": 0, "high": 3,
                        "medium": 4, "low": 0}
 
@@ -59,7 +60,7 @@ def test_analyze(spark, tree, tmp_path):
 def test_table_source(spark):
     df = spark.createDataFrame([(1, "sudo x"), (2, None)], "id long, body string")
     scripts = table_scripts(df, "id", "body")
-    assert totals(scripts, scan(scripts)).first().total_scripts == 2
+    assert totals(scripts, counts_by_level(scan(scripts))).first().total_scripts == 2
 
 
 def document(folder):

@@ -30,8 +30,8 @@ class Rule:
     phase: int = CUSTOM_PHASE
     rule_no: int = 0
     enabled: bool = True
-    # Text a match cannot do without: every group must have one member in the text.
-    # Lower-case when the pattern starts with (?i).
+    # Text a match cannot do without: every group must have one member in the text. Groups
+    # that are rare in ordinary text come first. Letters are lower-case in (?i) patterns.
     needs: tuple[tuple[str, ...], ...] = ()
 
     @property
@@ -148,20 +148,20 @@ _PATTERN_TEXTS = {
 }
 
 _NEEDS = {
-    "SEC01": (("passw", "pwd"), ("=",)),
-    "SEC02": (("key", "token"), ("=",)),
-    "SEC03": (("key",), ("=",)),
-    "SEC04": (("aws",), ("=",)),
-    "SEC05": (("http",), ("@",)),
-    "INJ01": (("eval",), ("$",)),
-    "INJ02": (("sh",), ("-c",), ("$",)),
-    "INJ03": (("exec", "system"), ("$",)),
-    "FIL01": (("rm",), ("-r", "-f")),
+    "SEC01": (("=",), ("passw", "pwd")),
+    "SEC02": (("=",), ("key", "token")),
+    "SEC03": (("=",), ("key",)),
+    "SEC04": (("=",), ("aws",)),
+    "SEC05": (("@",), ("http",)),
+    "INJ01": (("$",), ("eval",)),
+    "INJ02": (("$",), ("-c",), ("sh",)),
+    "INJ03": (("$",), ("exec", "system")),
+    "FIL01": (("-r", "-f"), ("rm",)),
     "FIL02": (("chmod",), ("777", "a+")),
-    "FIL03": (("/etc/", "/bin/", "/sbin/", "/usr/", "/var/"), (">",)),
+    "FIL03": ((">",), ("/etc/", "/bin/", "/sbin/", "/usr/", "/var/")),
     "NET01": (("-k", "--insecure"),),
     "NET02": (("--no-check-certificate",),),
-    "NET03": (("StrictHostKeyChecking=no",),),
+    "NET03": (("=",), ("StrictHostKeyChecking=no",)),
 }
 
 _PHASES = {"SEC": 1, "INJ": 2, "FIL": 3, "NET": 4}

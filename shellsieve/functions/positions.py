@@ -46,7 +46,8 @@ def match_starts(pieces, in_bytes=None):
         size = F.length(tail)
         if in_bytes is not None:
             size = F.when(in_bytes, F.octet_length(tail)).otherwise(size)
-        breaks = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
+        kept = F.octet_length(F.replace(piece, F.lit("\n"), F.lit("")))
+        breaks = F.octet_length(piece) - kept
         return F.struct(breaks.alias("breaks"), size.alias("tail"))
 
     steps = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), step)

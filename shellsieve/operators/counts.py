@@ -7,9 +7,9 @@ row per text and rule, however many matches there are.
 from pyspark.sql import functions as F
 
 from shellsieve.catalog import active_rules, builtin_rules, rules_table
-from shellsieve.operators.scan import FOLDED, HITS, TEXT, command_names, needs_condition
+from shellsieve.operators.scan import HITS, TEXT, clean_text, command_names, needs_condition, prepared
 from shellsieve.operators.commands import may_hold_command
-from shellsieve.functions.positions import let, without_marks
+from shellsieve.functions.positions import let
 from shellsieve.schemas import RISK_LEVELS
 
 
@@ -18,8 +18,7 @@ def rule_counts(texts, rules=None, min_risk=None, text_col="content", keep=()):
     keep = list(keep)
     active = active_rules(builtin_rules() if rules is None else rules, min_risk)
     return (
-        texts.select(*keep, F.col(text_col).alias(TEXT))
-        .withColumn(FOLDED, F.lower(TEXT))
+        prepared(texts, active, text_col, keep)
         .select(*keep, _counts(active).alias(HITS))
         .select(*keep, F.explode_outer(HITS).alias(HITS))
         .where(F.col(HITS).isNotNull())
@@ -53,7 +52,7 @@ def level_totals(counts, rules=None, *keys):
 
 def _counts(rules):
     text = F.col(TEXT)
-    entries = [_regex_count(text, rule) for rule in rules if rule.kind == "regex"]
+    entries = [_regex_count(text, rule, rules) for rule in rules if rule.kind == "regex"]
     counted = F.array(*entries) if entries else F.array().cast(_COUNTS)
     commands = {rule.command_name: rule.rule_id for rule in rules if rule.kind == "command"}
     if commands:
@@ -73,9 +72,9 @@ def _counts(rules):
 _COUNTS = "array<struct<rule_id:string,findings:bigint>>"
 
 
-def _regex_count(text, rule):
-    counted = F.regexp_count(without_marks(text), F.lit(rule.java_pattern))
-    needed = needs_condition(rule)
+def _regex_count(text, rule, rules):
+    counted = F.regexp_count(clean_text(text), F.lit(rule.java_pattern))
+    needed = needs_condition(rule, rules)
     return _entry(rule.rule_id, counted if needed is None else F.when(needed, counted))
 
 

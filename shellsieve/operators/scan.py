@@ -17,6 +17,7 @@ from shellsieve.operators.commands import marked_commands, may_hold_command, nam
 
 # Columns of the text under scan, its lower-case form, and what was found in it.
 TEXT, FOLDED, HITS = "__text", "__folded", "__hits"
+_HAS_MARK = "__has_mark"
 
 # The one character outside ASCII that lower() does not bring to the ASCII letter it folds to.
 _LONG_S = "\u017f"
@@ -35,8 +36,7 @@ def matches(texts, rules, text_col="content", keep=(), snippet=False, value=Fals
     if snippet:
         hits = _with_snippets(hits, F.col(TEXT))
     return (
-        texts.select(*keep, F.col(text_col).alias(TEXT))
-        .withColumn(FOLDED, F.lower(TEXT))
+        prepared(texts, rules, text_col, keep)
         .select(*keep, hits.alias(HITS))
         # Outer, then filtered: a plain explode would have its input evaluated a second
         # time by an inferred "array is not empty" filter below the projection.
@@ -90,7 +90,7 @@ def _all_hits(text, rules, value):
     """
     commands = {rule.command_name: rule.rule_id for rule in rules if rule.kind == "command"}
     names = list(commands)
-    marked = [_marked_by_rule(text, rule, value) for rule in rules if rule.kind == "regex"]
+    marked = [_marked_by_rule(text, rule, rules, value) for rule in rules if rule.kind == "regex"]
     if commands:
         marked.insert(0, F.when(may_hold_command(text, names), _marked(
             None, marked_commands(text, names), F.lit(None).cast("array<string>"), value)))
@@ -116,8 +116,9 @@ def _all_hits(text, rules, value):
 
         return F.transform(starts, lambda at, i: hit(at, i))
 
+    # A marker makes the text longer.
     with_matches = F.filter(
-        F.array(*marked), lambda rule: F.contains(rule["marked"], F.lit(MARK))
+        F.array(*marked), lambda rule: F.octet_length(rule["marked"]) > F.octet_length(text)
     )
     return F.flatten(F.transform(
         with_matches,
@@ -125,9 +126,9 @@ def _all_hits(text, rules, value):
     ))
 
 
-def _marked_by_rule(text, rule, value):
+def _marked_by_rule(text, rule, rules, value):
     pattern = rule.java_pattern
-    clean = without_marks(text)
+    clean = clean_text(text)
     group = 1 if _has_group(pattern) else 0
     marked = _marked(
         rule.rule_id,
@@ -135,7 +136,7 @@ def _marked_by_rule(text, rule, value):
         F.regexp_extract_all(clean, F.lit(pattern), F.lit(group)) if value else None,
         value,
     )
-    needed = needs_condition(rule)
+    needed = needs_condition(rule, rules)
     return marked if needed is None else F.when(needed, marked)
 
 
@@ -174,18 +175,69 @@ def _has_group(pattern):
     return False
 
 
-def needs_condition(rule):
-    """Cheap literal test that every text with a match passes; None when there is none."""
-    if not rule.needs:
-        return None
-    source = FOLDED if rule.caseless else TEXT
-    condition = " AND ".join(
-        "(" + " OR ".join(f"contains({source}, '{literal}')" for literal in group) + ")"
-        for group in rule.needs
+def prepared(texts, rules, text_col, keep):
+    """``keep`` columns, the text, and what the rules' literal tests share.
+
+    A literal that several rules need is looked for once, and texts are folded to lower
+    case only where a caseless rule still can match.
+    """
+    shared = _shared_literals(rules)
+    base = texts.select(*keep, F.col(text_col).alias(TEXT)).select(
+        "*",
+        F.contains(TEXT, F.lit(MARK)).alias(_HAS_MARK),
+        *[F.contains(TEXT, F.lit(s)).alias(name) for s, name in shared.items()],
     )
-    if rule.caseless:
-        condition = f"({condition}) OR contains({TEXT}, '{_LONG_S}')"
-    return F.expr(condition)
+    caseless = [_raw_condition(rule, shared) for rule in rules if rule.caseless]
+    if not caseless:
+        return base.withColumn(FOLDED, F.lit(None).cast("string"))
+    if not all(caseless):
+        return base.withColumn(FOLDED, F.lower(TEXT))
+    wanted = " OR ".join(f"({condition})" for condition in dict.fromkeys(caseless))
+    return base.withColumn(FOLDED, F.when(F.expr(wanted), F.lower(TEXT)))
+
+
+def clean_text(text):
+    """The text of a table made by ``prepared``, without the scan's own marker."""
+    return F.when(F.col(_HAS_MARK), without_marks(text)).otherwise(text)
+
+
+def needs_condition(rule, rules):
+    """Cheap literal test that every text with a match passes; None when there is none.
+
+    For tables made by ``prepared`` from the same ``rules``.
+    """
+    conditions = [_raw_condition(rule, _shared_literals(rules))]
+    folded = [group for group in rule.needs if rule.caseless and _has_letters(group)]
+    if folded:
+        tests = " AND ".join(_any_literal(FOLDED, group, {}) for group in folded)
+        conditions.append(f"({tests} OR contains({TEXT}, '{_LONG_S}'))")
+    condition = " AND ".join(filter(None, conditions))
+    return F.expr(condition) if condition else None
+
+
+def _raw_condition(rule, shared):
+    """The tests of a rule that do not depend on letter case."""
+    groups = [group for group in rule.needs if not (rule.caseless and _has_letters(group))]
+    return " AND ".join(_any_literal(TEXT, group, shared) for group in groups)
+
+
+def _shared_literals(rules):
+    """Literals that more than one rule needs, with the name of their column."""
+    single = [
+        group[0] for rule in rules for group in rule.needs
+        if len(group) == 1 and not (rule.caseless and _has_letters(group))
+    ]
+    repeated = [literal for literal in dict.fromkeys(single) if single.count(literal) > 1]
+    return {literal: f"__has_{i}" for i, literal in enumerate(repeated)}
+
+
+def _any_literal(source, group, shared):
+    tests = [shared.get(literal) or f"contains({source}, '{literal}')" for literal in group]
+    return "(" + " OR ".join(tests) + ")"
+
+
+def _has_letters(group):
+    return any(char.isalpha() for literal in group for char in literal)
 
 
 def _with_snippets(hits, text):

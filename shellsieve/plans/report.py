@@ -148,7 +148,7 @@ def _html_card(level):
 def _json_report(scripts, findings, clock):
     """One JSON document with one file and one finding per line."""
     keep_nulls = {"ignoreNullFields": "false"}
-    files = numbered(scripts.select("path"), [F.col("path").asc()], "item")
+    files = numbered(scripts.select("path"), [F.col("path").asc()], "item", costly=False)
     listed = numbered(findings, by_discovery(), "item")
     counts = counts_by_level(listed)
 

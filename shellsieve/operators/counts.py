@@ -7,9 +7,10 @@ row per text and rule, however many matches there are.
 from pyspark.sql import functions as F
 
 from shellsieve.catalog import active_rules, builtin_rules, rules_table
-from shellsieve.operators.scan import HITS, TEXT, clean_text, command_names, needs_condition, prepared
-from shellsieve.operators.commands import may_hold_command
 from shellsieve.functions.positions import let
+from shellsieve.operators.scan import (
+    HITS, TEXT, clean_text, command_names, if_commands_possible, if_possible, prepared,
+)
 from shellsieve.schemas import RISK_LEVELS
 
 
@@ -52,7 +53,7 @@ def level_totals(counts, rules=None, *keys):
 
 def _counts(rules):
     text = F.col(TEXT)
-    entries = [_regex_count(text, rule, rules) for rule in rules if rule.kind == "regex"]
+    entries = [_regex_count(text, rule) for rule in rules if rule.kind == "regex"]
     counted = F.array(*entries) if entries else F.array().cast(_COUNTS)
     commands = {rule.command_name: rule.rule_id for rule in rules if rule.kind == "command"}
     if commands:
@@ -64,7 +65,7 @@ def _counts(rules):
                 for command, rule_id in commands.items()
             ]),
         )
-        held = F.when(may_hold_command(text, names), by_name).otherwise(F.array().cast(_COUNTS))
+        held = F.coalesce(if_commands_possible(by_name), F.array().cast(_COUNTS))
         counted = F.concat(held, counted)
     return F.filter(counted, lambda entry: entry["findings"] > 0)
 
@@ -72,10 +73,9 @@ def _counts(rules):
 _COUNTS = "array<struct<rule_id:string,findings:bigint>>"
 
 
-def _regex_count(text, rule, rules):
+def _regex_count(text, rule):
     counted = F.regexp_count(clean_text(text), F.lit(rule.java_pattern))
-    needed = needs_condition(rule, rules)
-    return _entry(rule.rule_id, counted if needed is None else F.when(needed, counted))
+    return _entry(rule.rule_id, if_possible(rule, counted))
 
 
 def _entry(rule_id, number):

@@ -17,7 +17,7 @@ from shellsieve.operators.commands import marked_commands, may_hold_command, nam
 
 # Columns of the text under scan, its lower-case form, and what was found in it.
 TEXT, FOLDED, HITS = "__text", "__folded", "__hits"
-_HAS_MARK = "__has_mark"
+_HAS_MARK, _COMMAND_GATE = "__has_mark", "__may_command"
 
 # The one character outside ASCII that lower() does not bring to the ASCII letter it folds to.
 _LONG_S = "\u017f"
@@ -90,9 +90,9 @@ def _all_hits(text, rules, value):
     """
     commands = {rule.command_name: rule.rule_id for rule in rules if rule.kind == "command"}
     names = list(commands)
-    marked = [_marked_by_rule(text, rule, rules, value) for rule in rules if rule.kind == "regex"]
+    marked = [_marked_by_rule(text, rule, value) for rule in rules if rule.kind == "regex"]
     if commands:
-        marked.insert(0, F.when(may_hold_command(text, names), _marked(
+        marked.insert(0, if_commands_possible(_marked(
             None, marked_commands(text, names), F.lit(None).cast("array<string>"), value)))
 
     def hits(rule, pieces):
@@ -126,18 +126,16 @@ def _all_hits(text, rules, value):
     ))
 
 
-def _marked_by_rule(text, rule, rules, value):
+def _marked_by_rule(text, rule, value):
     pattern = rule.java_pattern
     clean = clean_text(text)
     group = 1 if _has_group(pattern) else 0
-    marked = _marked(
+    return if_possible(rule, _marked(
         rule.rule_id,
         marked_before(clean, pattern),
         F.regexp_extract_all(clean, F.lit(pattern), F.lit(group)) if value else None,
         value,
-    )
-    needed = needs_condition(rule, rules)
-    return marked if needed is None else F.when(needed, marked)
+    ))
 
 
 def _marked(rule_id, marked, values, value):
@@ -176,24 +174,34 @@ def _has_group(pattern):
 
 
 def prepared(texts, rules, text_col, keep):
-    """``keep`` columns, the text, and what the rules' literal tests share.
+    """``keep`` columns, the text, and per rule whether it can match the text at all.
 
-    A literal that several rules need is looked for once, and texts are folded to lower
-    case only where a caseless rule still can match.
+    These tests stay in a projection of their own, where they are compiled; the array
+    functions above it are not. A literal that several rules need is looked for once, and
+    texts are folded to lower case only where a caseless rule still can match.
     """
     shared = _shared_literals(rules)
     base = texts.select(*keep, F.col(text_col).alias(TEXT)).select(
-        "*",
-        F.contains(TEXT, F.lit(MARK)).alias(_HAS_MARK),
-        *[F.contains(TEXT, F.lit(s)).alias(name) for s, name in shared.items()],
+        "*", *[F.contains(TEXT, F.lit(literal)).alias(name) for literal, name in shared.items()]
     )
     caseless = [_raw_condition(rule, shared) for rule in rules if rule.caseless]
+    folded = F.lower(TEXT)
     if not caseless:
-        return base.withColumn(FOLDED, F.lit(None).cast("string"))
-    if not all(caseless):
-        return base.withColumn(FOLDED, F.lower(TEXT))
-    wanted = " OR ".join(f"({condition})" for condition in dict.fromkeys(caseless))
-    return base.withColumn(FOLDED, F.when(F.expr(wanted), F.lower(TEXT)))
+        folded = F.lit(None).cast("string")
+    elif all(caseless):
+        folded = F.when(
+            F.expr(" OR ".join(f"({test})" for test in dict.fromkeys(caseless))), folded
+        )
+    gates = [
+        F.expr(_needs_condition(rule, shared)).alias(_gate_name(rule))
+        for rule in rules if rule.kind == "regex" and rule.needs
+    ]
+    names = [rule.command_name for rule in rules if rule.kind == "command"]
+    if names:
+        gates.append(may_hold_command(F.col(TEXT), names).alias(_COMMAND_GATE))
+    return base.withColumn(FOLDED, folded).select(
+        *keep, TEXT, F.contains(TEXT, F.lit(MARK)).alias(_HAS_MARK), *gates
+    )
 
 
 def clean_text(text):
@@ -201,18 +209,27 @@ def clean_text(text):
     return F.when(F.col(_HAS_MARK), without_marks(text)).otherwise(text)
 
 
-def needs_condition(rule, rules):
-    """Cheap literal test that every text with a match passes; None when there is none.
+def if_possible(rule, value):
+    """``value`` where ``prepared`` found that ``rule`` can match, else NULL."""
+    return F.when(F.col(_gate_name(rule)), value) if rule.needs else value
 
-    For tables made by ``prepared`` from the same ``rules``.
-    """
-    conditions = [_raw_condition(rule, _shared_literals(rules))]
+
+def if_commands_possible(value):
+    return F.when(F.col(_COMMAND_GATE), value)
+
+
+def _gate_name(rule):
+    return f"__may_{rule.rule_id}"
+
+
+def _needs_condition(rule, shared):
+    """Cheap literal test that every text with a match passes."""
+    conditions = [_raw_condition(rule, shared)]
     folded = [group for group in rule.needs if rule.caseless and _has_letters(group)]
     if folded:
         tests = " AND ".join(_any_literal(FOLDED, group, {}) for group in folded)
         conditions.append(f"({tests} OR contains({TEXT}, '{_LONG_S}'))")
-    condition = " AND ".join(filter(None, conditions))
-    return F.expr(condition) if condition else None
+    return " AND ".join(filter(None, conditions))
 
 
 def _raw_condition(rule, shared):

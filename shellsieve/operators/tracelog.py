@@ -39,11 +39,11 @@ def parse_trace(traces, line_col="line", keep=()):
     """
     line = F.col(line_col)
     kind = (
-        F.when(line.rlike(_UNFINISHED), "unfinished")
-        .when(line.rlike(_RESUMED), "resumed")
+        F.when(F.endswith(line, F.lit("<unfinished ...>")) & line.rlike(_UNFINISHED), "unfinished")
+        .when(F.contains(line, F.lit(" resumed>")) & line.rlike(_RESUMED), "resumed")
+        .when(F.endswith(line, F.lit(" ---")) & line.rlike(r"^\d+\s+--- .* ---$"), "signal")
+        .when(F.endswith(line, F.lit(" +++")) & line.rlike(r"^\d+\s+\+\+\+ .* \+\+\+$"), "exit")
         .when(line.rlike(_CALL), "call")
-        .when(line.rlike(r"^\d+\s+--- .* ---$"), "signal")
-        .when(line.rlike(r"^\d+\s+\+\+\+ .* \+\+\+$"), "exit")
         .otherwise("other")
     )
 

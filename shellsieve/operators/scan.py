@@ -50,7 +50,8 @@ def scan(scripts, rules=None, min_risk=None, id_col="path", text_col="content",
          snippet=True):
     """Findings of ``scripts`` in the ``FINDINGS`` schema, preceded by ``keep`` columns."""
     active = active_rules(builtin_rules() if rules is None else rules, min_risk)
-    found = matches(scripts, active, text_col, [*keep, id_col], snippet=snippet)
+    columns = list(dict.fromkeys([*keep, id_col]))
+    found = matches(scripts, active, text_col, columns, snippet=snippet)
     return describe(found, active, id_col, keep, snippet)
 
 
@@ -211,7 +212,7 @@ def clean_text(text):
 
 def if_possible(rule, value):
     """``value`` where ``prepared`` found that ``rule`` can match, else NULL."""
-    return F.when(F.col(_gate_name(rule)), value) if rule.needs else value
+    return F.when(F.col(f"`{_gate_name(rule)}`"), value) if rule.needs else value
 
 
 def if_commands_possible(value):
@@ -219,7 +220,7 @@ def if_commands_possible(value):
 
 
 def _gate_name(rule):
-    return f"__may_{rule.rule_id}"
+    return "__may_" + rule.rule_id.replace("`", "")
 
 
 def _needs_condition(rule, shared):
@@ -249,7 +250,10 @@ def _shared_literals(rules):
 
 
 def _any_literal(source, group, shared):
-    tests = [shared.get(literal) or f"contains({source}, '{literal}')" for literal in group]
+    def quoted(literal):
+        return "'" + literal.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    tests = [shared.get(one) or f"contains({source}, {quoted(one)})" for one in group]
     return "(" + " OR ".join(tests) + ")"
 
 

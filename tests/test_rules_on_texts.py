@@ -139,6 +139,14 @@ def test_minimum_level_equals_filtering(spark):
         assert row.code_snippet == model.snippet(texts[int(row.file_path)], row.line)
 
 
+def test_rule_names_and_literals_are_taken_as_they_are(spark):
+    rule = Rule("A.1 `x`", "regex", "OtherSecurityRisk", "Low", pattern=r"(?i)it's \\ a",
+                needs=(("'",), ("\\",), ("it's",)))
+    df = spark.createDataFrame([("p", "IT'S \\ a"), ("q", "its a")], "path string, content string")
+    rows = scan(df, [rule], keep=["path"]).collect()
+    assert [(row.path, row.file_path, row.rule_id) for row in rows] == [("p", "p", "A.1 `x`")]
+
+
 def test_empty_rule_list_and_unreadable_text(spark):
     df = spark.createDataFrame([("a", None), ("b", "rm x")], "path string, content string")
     assert scan(df, rules=[]).collect() == []

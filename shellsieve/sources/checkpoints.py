@@ -6,12 +6,23 @@ import uuid
 
 
 def checkpoint_root(spark):
-    """The folder the cluster shares for checkpoints; a temporary one only where unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _test_folder()
+    """The folder the cluster shares for checkpoints.
+
+    That is the setting ``spark.checkpoint.dir`` or the folder given to the context. Where
+    neither is set, a local master gets a temporary folder; a cluster gets an error, since
+    its machines would write to folders the others cannot read.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if context.master == "local" or context.master.startswith("local["):
+        return _local_folder()
+    raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
 
 
 @functools.cache
-def _test_folder():
+def _local_folder():
     return tempfile.mkdtemp(prefix="shellsieve-")
 
 
@@ -25,3 +36,17 @@ def stored(df, purpose):
     folder = shared_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remove_stored(df):
+    """Delete the folders that ``stored`` made for ``df``, which is not read any more."""
+    spark = df.sparkSession
+    root = checkpoint_root(spark).rstrip("/")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    parent = jvm.org.apache.hadoop.fs.Path(root)
+    parent = parent.getFileSystem(conf).makeQualified(parent).toString().rstrip("/")
+    for name in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        qualified = path.getFileSystem(conf).makeQualified(path).toString()
+        if qualified.startswith(f"{parent}/"):
+            path.getFileSystem(conf).delete(path, True)

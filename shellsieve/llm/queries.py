@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from shellsieve.llm.decontaminate import contamination
 from shellsieve.llm.exact import exact_duplicates
+from shellsieve.llm.htmltext import extract_text
 from shellsieve.llm.langid import identify_languages
+from shellsieve.llm.lm import BACKOFF, MIN_COUNT, VOCABULARY, lm_scores
 from shellsieve.llm.mix import mix
 from shellsieve.llm.simhash import near_duplicates
+from shellsieve.llm.tokencount import token_counts
 from shellsieve.llm.tokens import token_files
 from shellsieve.llm.urls import url_verdicts
 
@@ -34,6 +37,13 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def vocabulary_path() -> str:
+    """The vocabulary of the token counts, at the same path on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def url_rules(spark: SparkSession) -> DataFrame:
     rules = (
         F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict"))
@@ -54,10 +64,22 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"), url_rules(spark))
 
@@ -75,8 +97,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_files, op2_decontamination, op3_language_id, op5_simhash, op8_url_filter,
-        op9_mixing, op10_exact_dedup,
+        op1_token_files, op2_decontamination, op3_language_id, op4_html_text, op5_simhash,
+        op6_lm_scores, op7_token_counts, op8_url_filter, op9_mixing, op10_exact_dedup,
     )
 }
 
@@ -109,6 +131,36 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
        n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)
+""",
+    "op6_lm_scores": rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all({_FOLD.format('text')}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+tokens AS (
+  SELECT row, i, words[i] AS word
+  FROM (SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM docs)),
+vocabulary AS (
+  SELECT word, count(*) AS n FROM tokens GROUP BY word
+  ORDER BY n DESC, encode(word) LIMIT {VOCABULARY}),
+known AS (SELECT row, i, v.word FROM tokens t LEFT JOIN vocabulary v ON t.word = v.word),
+pairs AS (
+  SELECT row, i, word, lag(word) OVER text AS before, i > 1 AS follows FROM known
+  WINDOW text AS (PARTITION BY row ORDER BY i)),
+words AS (SELECT word, count(*) AS n FROM known GROUP BY word),
+followed AS (SELECT before, count(*) AS n FROM pairs WHERE follows GROUP BY before),
+counted AS (SELECT before, word, count(*) AS n FROM pairs WHERE follows GROUP BY before, word),
+logs AS (
+  SELECT p.row, CASE WHEN follows AND c.n >= {MIN_COUNT}
+           THEN round(ln(c.n) * 1000000) - round(ln(f.n) * 1000000)
+           ELSE round(ln(w.n) * 1000000) - round(ln((SELECT count(*) FROM tokens)) * 1000000)
+                + CASE WHEN follows THEN round(ln({BACKOFF}) * 1000000) ELSE 0 END END AS score
+  FROM pairs p JOIN words w ON p.word IS NOT DISTINCT FROM w.word
+  LEFT JOIN followed f ON follows AND p.before IS NOT DISTINCT FROM f.before
+  LEFT JOIN counted c ON follows AND p.before IS NOT DISTINCT FROM c.before
+                         AND p.word IS NOT DISTINCT FROM c.word)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+       CAST(coalesce(score, 0) AS BIGINT) AS score_micros
+FROM docs LEFT JOIN (SELECT row, sum(score) AS score FROM logs GROUP BY row) USING (row)
 """,
     "op8_url_filter": """
 WITH parted AS (

@@ -9,7 +9,7 @@ from dataclasses import dataclass, fields
 import pyarrow as pa
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shellsieve.functions.dialect import portable
+from shellsieve.functions.dialect import portable, unsupported
 from shellsieve.functions.levels import rank_of
 from shellsieve.schemas import FINDING_TYPES, RISK_LEVELS, RULES
 
@@ -46,6 +46,11 @@ class Rule:
     def java_pattern(self):
         return portable(self.pattern)
 
+    @property
+    def by_line(self):
+        """Pattern and loose alternative for a search that takes linear time, or None."""
+        return _BY_LINE.get(self.pattern)
+
 
 # Command name, level.
 DANGEROUS_COMMANDS = [
@@ -164,9 +169,45 @@ _NEEDS = {
     "NET03": (("=",), ("StrictHostKeyChecking=no",)),
 }
 
+# Patterns that look for something up to the end of the line, anywhere after their start, cost
+# the square of a line that is full of starts and lacks it. For those: the start where it is
+# known that the rest of the line lacks it, and a start that may go on in the next line. From
+# a start of the first kind on, the line holds no match but of a start of the second kind, so
+# it is passed over in one step.
+_BLANKS = r"(?:(?!\n)\s)*+"
+_NO_NAME = r"(?!.*\$\{?[a-zA-Z0-9_])"
+_LINE_STARTS = {
+    "INJ01": (rf"""eval(?=\s++[\$"]{_NO_NAME})""", r"eval"),
+    "INJ02": (rf"(?:^|\s)(?:bash|sh)(?=\s++-c\s++{_NO_NAME})",
+              rf"\s(?:bash|sh)(?:{_BLANKS}-c)?+"),
+    "INJ03": (rf"(?:^|\s)(?:exec|system)(?=\s++{_NO_NAME})", r"\s(?:exec|system)"),
+    "NET01": (r"curl(?=\s++(?!.*--insecure))", r"curl"),
+    "NET02": (r"wget(?=\s++(?!.*--no-check-certificate))", r"wget"),
+    "NET03": (r"ssh(?=\s++(?!.*-o\s++StrictHostKeyChecking=no))", r"ssh"),
+}
+# The alternative of a pattern that is not bound to a line.
+_LOOSE = {"NET01": "-k"}
+
+
+def _line_patterns():
+    """By pattern: what to look for line by line, with groups skip and hit, and the rest."""
+    found = {}
+    for rule_id, _, _, pattern in TEXT_PATTERNS:
+        if rule_id in _LINE_STARTS:
+            start, open_start = _LINE_STARTS[rule_id]
+            loose = _LOOSE.get(rule_id)
+            bound = pattern.removesuffix(f"|{loose}")
+            skip = portable(rf"{start}(?:(?!{open_start}{_BLANKS}\n).)*+")
+            found[pattern] = f"(?<skip>{skip})|(?<hit>{portable(bound)})", loose
+    return found
+
+
 _PHASES = {"SEC": 1, "INJ": 2, "FIL": 3, "NET": 4}
 
 
+_BY_LINE = _line_patterns()
+
+
 def builtin_rules():
     """All built-in rules in discovery order.
 
@@ -205,10 +246,11 @@ def builtin_rules():
 
 
 def regex_rule(rule_id, pattern, risk_level, finding_type="HardcodedSecret", description="",
-               recommendation=None, rule_no=1):
-    """A custom text rule."""
+               recommendation=None, rule_no=1, needs=()):
+    """A custom text rule; ``needs`` as in ``Rule``, without which every text is tried."""
     return Rule(rule_id, "regex", finding_type, risk_level, pattern=pattern,
-                description=description, recommendation=recommendation, rule_no=rule_no)
+                description=description, recommendation=recommendation, rule_no=rule_no,
+                needs=needs)
 
 
 def active_rules(rules, min_risk=None):
@@ -250,6 +292,12 @@ def check_fields(rule):
         raise ValueError(f"{rule.rule_id}: a command rule needs a command name")
 
 
+def check_pattern(rule):
+    """Reject a pattern that Java would take for something else."""
+    if rule.kind == "regex" and (what := unsupported(rule.pattern)):
+        raise ValueError(f"{rule.rule_id}: the pattern has {what}, which is not supported")
+
+
 def rules_table(spark, rules):
     """The rule list as a table."""
     names = RULES.fieldNames()

@@ -17,6 +17,26 @@ WORD = r"\p{IsAlphabetic}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}"
 # Non-ASCII characters that fold to an ASCII letter.
 _FOLDS_TO_ASCII = {"s": r"\x{17F}", "k": r"\x{212A}"}
 
+# What patterns may not hold, since Java means something else by it, and how it is named.
+_UNSUPPORTED = (
+    (re.compile(r"\(\?[a-zA-Z]*-?[a-zA-Z]+[):]"), "flags other than a leading (?i)"),
+    (re.compile(r"\[[^\]]*(?:\[:|&&|--|~~)"), "a class inside a class"),
+    (re.compile(r"\[\^?\]"), "a class that begins with ]"),
+    (re.compile(r"\(\?(?:[=!>]|<[=!])"), "a look-around or an atomic group"),
+    (re.compile(r"\\[1-9kQEGZzAhHRXN]"), "a back-reference or an anchor of Java's own"),
+)
+
+
+def unsupported(pattern):
+    """What a pattern holds that ``portable`` does not translate, or None."""
+    body = pattern[4:] if pattern.startswith("(?i)") else pattern
+    # A backslash takes the next character out of consideration, but for escapes.
+    bare = re.sub(r"\\[^1-9kQEGZzAhHRXN]", "..", body)
+    if pattern.startswith("(?i)") and re.search(r"\\(?:x|u)", body):
+        return "an escaped character in a caseless pattern"
+    return next((what for test, what in _UNSUPPORTED if test.search(bare)), None)
+
+
 _TOKEN = re.compile(
     r"""
       (?P<class>\[\^?\]?(?:\\.|[^\]\\])*\])

@@ -11,7 +11,9 @@ window, a shuffle or a UDF, and the text itself never leaves its task.
 from pyspark.sql import functions as F
 
 MARK = "\ufdd0"
-# Takes the place of a marker that occurs in the text itself. Both are unassigned
+# Ends a match where a search also matches what it passes over.
+STOP = "\ufdd1"
+# Takes the place of a marker that occurs in the text itself. All are unassigned
 # noncharacters of the same size, so positions and matches stay the same.
 STAND_IN = "\ufddf"
 
@@ -24,13 +26,36 @@ def let(value, body):
 
 
 def without_marks(text):
-    return F.replace(text, F.lit(MARK), F.lit(STAND_IN))
+    return F.replace(
+        F.replace(text, F.lit(MARK), F.lit(STAND_IN)), F.lit(STOP), F.lit(STAND_IN)
+    )
+
+
+def has_marks(text):
+    return F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(STOP))
 
 
 def marked_before(text, pattern):
     return F.regexp_replace(text, F.lit(pattern), F.lit(MARK + "$0"))
 
 
+def marked_by_line(text, pattern, loose=None):
+    """As ``marked_before``, for a pattern of the groups skip and hit.
+
+    ``loose`` is a second pattern, looked for outside the matches of the first.
+    """
+    replacement = "${skip}" + MARK + "${hit}" + STOP
+
+    def marked(text, pattern):
+        found = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
+        return F.replace(found, F.lit(MARK + STOP), F.lit(""))
+
+    found = marked(text, pattern)
+    if loose:
+        found = marked(found, f"(?<skip>{MARK}[^{STOP}]*+{STOP})|(?<hit>{loose})")
+    return F.replace(found, F.lit(STOP), F.lit(""))
+
+
 def pieces_of(marked):
     return F.split(marked, MARK)
 

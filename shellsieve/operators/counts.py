@@ -7,9 +7,10 @@ row per text and rule, however many matches there are.
 from pyspark.sql import functions as F
 
 from shellsieve.catalog import active_rules, builtin_rules, rules_table
-from shellsieve.functions.positions import let
+from shellsieve.functions.positions import MARK, let
 from shellsieve.operators.scan import (
-    HITS, TEXT, clean_text, command_names, if_commands_possible, if_possible, prepared,
+    HITS, TEXT, clean_text, command_names, if_commands_possible, if_possible, marked_by_rule,
+    prepared,
 )
 from shellsieve.schemas import RISK_LEVELS
 
@@ -74,7 +75,12 @@ _COUNTS = "array<struct<rule_id:string,findings:bigint>>"
 
 
 def _regex_count(text, rule):
-    counted = F.regexp_count(clean_text(text), F.lit(rule.java_pattern))
+    clean = clean_text(text)
+    if rule.by_line:
+        longer = F.octet_length(marked_by_rule(clean, rule)) - F.octet_length(clean)
+        counted = (longer / len(MARK.encode())).cast("int")
+    else:
+        counted = F.regexp_count(clean, F.lit(rule.java_pattern))
     return _entry(rule.rule_id, if_possible(rule, counted))
 
 

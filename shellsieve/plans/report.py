@@ -35,7 +35,15 @@ def report(form, scripts, findings, started=None, ended=None, language="en",
     ``legacy_html_order`` sorts an HTML report by level name in descending text order
     instead of by severity.
     """
+    if form not in FORMATS:
+        raise ValueError(f"unknown report format {form!r}, expected one of {FORMATS}")
     started = started or datetime.now()
+    order = by_level_text() if form == "html" and legacy_html_order else by_severity()
+    # Numbering stores the findings, so the scan is over when the end is taken.
+    if form == "json":
+        listed = numbered(findings, by_discovery(), "item")
+    else:
+        listed = numbered(findings, order)
     ended = ended or datetime.now()
     clock = {
         "start_time": started.strftime(TIME_FORMAT),
@@ -43,11 +51,7 @@ def report(form, scripts, findings, started=None, ended=None, language="en",
         "duration_seconds": (ended - started).total_seconds(),
     }
     if form == "json":
-        return _json_report(scripts, findings, clock)
-    if form not in FORMATS:
-        raise ValueError(f"unknown report format {form!r}, expected one of {FORMATS}")
-    order = by_level_text() if form == "html" and legacy_html_order else by_severity()
-    listed = numbered(findings, order)
+        return _json_report(scripts, listed, clock)
     summary = totals(scripts, counts_by_level(listed))
     level = risk_level_name(F.col("risk_level"), language)
     if form == "html":
@@ -145,11 +149,10 @@ def _html_card(level):
     )
 
 
-def _json_report(scripts, findings, clock):
+def _json_report(scripts, listed, clock):
     """One JSON document with one file and one finding per line."""
     keep_nulls = {"ignoreNullFields": "false"}
     files = numbered(scripts.select("path"), [F.col("path").asc()], "item", costly=False)
-    listed = numbered(findings, by_discovery(), "item")
     counts = counts_by_level(listed)
 
     def element(value):

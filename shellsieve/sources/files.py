@@ -38,10 +38,11 @@ def with_readable(files, path_col="path", bytes_col="content"):
 def read_scripts(spark, path, recursive=False):
     """Scripts of a file, of a directory or, with ``recursive``, of a tree.
 
-    A path that does not exist gives an empty table. Files that vanish or cannot be read
-    are left out. Names starting with '.' or '_' and empty files are not listed by Spark's
-    file sources.
+    A path that does not exist gives an empty table, a file that vanishes meanwhile is left
+    out, and one that cannot be read is an error, since a scan without it would look clean.
+    Names starting with '.' or '_' and empty files are not listed by Spark's file sources.
     """
+    path = _qualified(spark, path)
     try:
         files = _files(spark, path, recursive)
     except SparkRuntimeException as error:
@@ -55,18 +56,24 @@ def read_scripts(spark, path, recursive=False):
         return spark.createDataFrame([], SCRIPTS)
     if not recursive and not any(char in path for char in "*?[{"):
         # Only direct children count, even where folders were read as partitions.
-        root = F.lit("/" + path.split("://")[-1].strip("/"))
-        parent = F.regexp_replace("path", "/[^/]*$", "")
-        files = files.where(F.endswith(parent, root) | F.endswith(F.col("path"), root))
+        parent = F.regexp_replace("path", "/[^/]*\\z", "")
+        files = files.where((parent == path.rstrip("/")) | (F.col("path") == path))
     return with_readable(files.select("path", "content"))
 
 
+def _qualified(spark, path):
+    """``path`` as the file system spells it: absolute, with its scheme, without dots."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString()
+
+
 def _files(spark, path, recursive):
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
         .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
+        .option("ignoreCorruptFiles", "false")
         .load(path)
     )
 

@@ -6,13 +6,20 @@ from shellsieve.schemas import FINDINGS, REPORT, REPORT_FINDING
 
 
 def read_report_findings(spark, path):
-    """Findings of a JSON report written by ``write_report``, read line by line in parallel."""
-    body = F.regexp_extract("value", r"^  [ ,] (\{.*\})$", 1)
+    """Findings of a JSON report written by ``write_report``, read line by line in parallel.
+
+    A line that such a report does not have, and a finding that does not parse, are errors.
+    """
+    line = F.col("value")
+    finding = line.rlike(r"\A  [ ,] \{")
+    other = line.rlike(r'\A(?:\{\z|\}\z|  "|  \]|  [ ,] ")')
+    problem = F.raise_error(F.concat(F.lit("no line of a JSON report: "), line))
+    body = F.when(finding, F.expr("substring(value, 5)")).when(~other, problem.cast("string"))
     return (
         spark.read.text(path)
         .select(body.alias("body"))
-        .where(F.col("body") != "")
-        .select(F.from_json("body", REPORT_FINDING).alias("finding"))
+        .where(F.col("body").isNotNull())
+        .select(F.from_json("body", REPORT_FINDING, {"mode": "FAILFAST"}).alias("finding"))
         .select("finding.*")
     )
 

@@ -16,13 +16,7 @@ def python_pattern(pattern):
 
 
 def position(text, offset):
-    line = column = 1
-    for char in text[:offset]:
-        if char == "\n":
-            line, column = line + 1, 1
-        else:
-            column += 1
-    return line, column
+    return text.count("\n", 0, offset) + 1, offset - text.rfind("\n", 0, offset)
 
 
 def regex_hits(text, pattern):
@@ -38,5 +32,5 @@ def lines(text):
 
 
 def snippet(text, line):
-    start = line - 2 if line > 2 else 0
-    return "\n".join(lines(text)[start:line + 2])
+    numbered = enumerate(lines(text), 1)
+    return "\n".join(part for n, part in numbered if line - 1 <= n <= line + 2)

@@ -1,12 +1,14 @@
 """Text rules on edge texts and on random texts, against a brute-force model."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from shellsieve.catalog import Rule, active_rules, builtin_rules, regex_rule
 from shellsieve.functions.dialect import portable
+from shellsieve.operators.counts import rule_counts
 from shellsieve.operators.scan import matches, scan
 from tests import model
 
@@ -88,6 +90,57 @@ def test_random_texts_match_the_model(spark):
     assert total > 1000
 
 
+LINE_FRAGMENTS = [
+    "eval", "exec", "system", "sh", "bash", "-c", "curl", "wget", "ssh", "--insecure", "-k", "-o",
+    "StrictHostKeyChecking=no", "--no-check-certificate", "$x", "${y}", "$", '"', " ", " ", "\n", "\n", "\t",
+    " \n", "\u2003", "\r", "x", "\ufdd1",
+]
+
+
+def test_searches_by_line_match_the_model(spark):
+    rng = random.Random(9)
+    rules = [rule for rule in REGEX_RULES if rule.by_line]
+    assert [r.rule_id for r in rules] == ["INJ01", "INJ02", "INJ03", "NET01", "NET02", "NET03"]
+    texts = ["".join(rng.choices(LINE_FRAGMENTS, k=rng.randint(3, 30))) for _ in range(4000)]
+    found = hits(spark, texts, rules)
+    total = 0
+    for i, text in enumerate(texts):
+        expected = [(r.rule_id, *at) for r in rules for at in model.regex_hits(text, r.pattern)]
+        assert sorted((r.rule_id, r.line, r.column) for r in found[i]) == sorted(expected), repr(text)
+        total += len(expected)
+    assert total > 2000
+
+
+@pytest.mark.parametrize("repeated, rest", [
+    ("curl ", "\n-k"), ("curl -k ", ""), ("wget ", "\n--no-check-certificate"), ("ssh ", "\n=StrictHostKeyChecking=no"),
+    ('eval "', "\n$x"), (" sh -c ", "\n$x"), (" exec ", "\n$x"), ("curl" + " " * 50, "x\n-k"), ("curl\n", "-k"),
+])
+def test_long_lines_take_linear_time(spark, repeated, rest):
+    text = repeated * (1_000_000 // len(repeated)) + rest
+    rules = [rule for rule in REGEX_RULES if rule.by_line]
+    df = spark.createDataFrame([(text,)], "content string")
+    started = time.perf_counter()
+    rule_counts(df, rules).collect()
+    assert time.perf_counter() - started < 20
+
+
+def test_snippets_of_a_long_line(spark):
+    """One snippet at a time is held, though each is the whole line."""
+    text = 'pwd="x" ' * 20_000
+    df = spark.createDataFrame([(text,)], "content string")
+    found = matches(df, REGEX_RULES[:1], snippet=True)
+    n, size = found.agg(F.count("*"), F.sum(F.length("code_snippet"))).first()
+    assert (n, size) == (20_000, 20_000 * len(text))
+
+
+@pytest.mark.parametrize("pattern", [
+    "(?m)^rm$", "(?s)a.b", "[[:digit:]]+x", r"(?i)\x70wd", "(?i:a)b", "a(?-i)b", "[]a]", "(?=a)b", r"(a)\1", r"a\Z",
+])
+def test_what_is_not_translated_is_refused(spark, pattern):
+    with pytest.raises(ValueError, match="not supported"):
+        scan(spark.createDataFrame([("p", "x")], "path string, content string"), [regex_rule("X", pattern, "Low")])
+
+
 def test_needs_never_hide_a_match(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choices(FRAGMENTS, k=12)) for _ in range(1500)]

@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import datetime
 
 import pytest
@@ -49,6 +50,55 @@ def test_files(spark, tree):
                        "medium": 4, "low": 0}
 
 
+def test_spellings_of_a_path(spark, tree, monkeypatch):
+    expected = names(read_scripts(spark, tree))
+    for folder in (f"file:{tree}", f"file://{tree}", f"{tree}/", f"{tree}//", f"{tree}/./", f"{tree}/sub/..",
+                   tree.replace("/tree", "//tree"), tree.replace("/tree", "/./tree")):
+        assert names(read_scripts(spark, folder)) == expected, folder
+    for file in (f"{tree}/a.sh", f"file:{tree}/a.sh", f"file://{tree}/./a.sh", f"{tree}//a.sh"):
+        assert names(read_scripts(spark, file)) == ["a.sh"], file
+    assert names(read_scripts(spark, f"{tree}/sub")) == ["sub/g.sh"]
+
+
+def test_an_unreadable_file_is_an_error(spark, tmp_path):
+    (tmp_path / "a.sh").write_text("rm x")
+    scripts = read_scripts(spark, str(tmp_path))
+    (tmp_path / ".a.sh.crc").write_bytes(b"crc\x00\x00\x00\x02\x00\x00\x00\x00\x00")
+    with pytest.raises(Exception, match="Checksum|FAILED_READ_FILE"):
+        scripts.collect()
+
+
+def test_two_custom_rules_at_one_place_keep_their_order(spark):
+    rules = [regex_rule("B", "ab", "Low"), regex_rule("A", "a", "Low")]
+    df = spark.createDataFrame([(f"p{i}", "ab") for i in range(20)], "path string, content string")
+    order = lambda: [
+        (r.file_path, r.rule_id) for r in numbered(scan(df.repartition(3), rules), by_severity())
+        .orderBy("finding_no").collect()
+    ]
+    assert order() == order() == [(p, r) for p in sorted(f"p{i}" for i in range(20)) for r in "AB"]
+
+
+def test_line_separators_in_findings_survive(spark, tmp_path):
+    rows = [(f"s{i}", f"pwd='x{c}y'") for i, c in enumerate("\u2028\u2029\u0085\x0b\r")]
+    scripts = spark.createDataFrame(rows, "path string, content string")
+    write_report(report("json", scripts, scan(scripts), NOW, NOW), str(tmp_path / "r"))
+    found = reports.read_report_findings(spark, str(tmp_path / "r"))
+    assert sorted(r.code_snippet for r in found.collect()) == sorted(r.code_snippet for r in scan(scripts).collect())
+    (tmp_path / "other.json").write_text(json.dumps({"findings": [{"line": 1}]}, indent=2))
+    with pytest.raises(Exception, match="no line of a JSON report|MALFORMED_RECORD"):
+        reports.read_report_findings(spark, str(tmp_path / "other.json")).collect()
+
+
+def test_the_reported_time_covers_the_scan(spark, scanned):
+    scripts, findings = scanned
+    slow = F.udf(lambda text: time.sleep(0.05) or text)
+    found = findings.withColumn("code_snippet", slow("code_snippet"))
+    started = time.perf_counter()
+    head = report("text", scripts, found, datetime.now()).orderBy("section").first().report_line
+    seconds = float(head.split("Seconds: ")[1].split("\n")[0])
+    assert 160 * 0.05 / 8 <= seconds <= time.perf_counter() - started
+
+
 def test_analyze(spark, tree, tmp_path):
     analysis = analyze(spark, tree, recursive=True, min_risk="High", ignored=["CMD_EXEC"])
     assert analysis.totals().first().total_findings == 2

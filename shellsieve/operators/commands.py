@@ -44,11 +44,14 @@ _SUBSTITUTING_STRING = rf'"(?:[^"\\$`]++|{_ESCAPED}|{_SUBSTITUTION}|[$`])*+"'
 # The rest of the opening line. A line is taken from its last opener on, so that a line
 # full of shift operators is not searched once per operator.
 _OPENING_LINE = r"[^\n<]*+(?:<(?!<)[^\n<]*+)*+"
+# Stands for the words that end a here-document of the text at hand. A word that no line
+# consists of opens none, and the rest of the text need not be searched for its end.
+_END_WORDS, _NO_WORD = "END-WORDS", "(?!)"
 _REGIONS = (
     rf"(?<skip>{_NOT_CODE}|{_PLAIN_STRING})"
-    rf"|(?<rawopener>(?<!<)<<-?[ \t]*+['\"\\](?<rawend>\w++)['\"]?{_OPENING_LINE})"
+    rf"|(?<rawopener>(?<!<)<<-?[ \t]*+['\"\\](?<rawend>(?:{_END_WORDS})(?!\w))['\"]?{_OPENING_LINE})"
     r"(?<raw>\n(?:(?s:.)*?\n)??\t*+\k<rawend>)(?=\n|\z)"
-    rf"|(?<opener>(?<!<)<<-?[ \t]*+(?<end>\w++){_OPENING_LINE})"
+    rf"|(?<opener>(?<!<)<<-?[ \t]*+(?<end>(?:{_END_WORDS})(?!\w)){_OPENING_LINE})"
     r"(?<body>\n(?:(?s:.)*?\n)??\t*+\k<end>)(?=\n|\z)"
     rf"|(?<string>{_SUBSTITUTING_STRING})"
 )
@@ -116,15 +119,25 @@ def _any_of(names):
 
 def _marked(text, pattern, replacement, *pairs):
     """Replace, then drop the mark pairs around groups that took no part in a match."""
-    marked = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    marked = F.regexp_replace(text, pattern, F.lit(replacement))
     for first, last in pairs:
         marked = F.replace(marked, F.lit(first + last), F.lit(""))
     return marked
 
 
+def _end_words(text):
+    """Alternatives of a pattern: words after an opener that are a line of their own."""
+    opened = F.regexp_extract_all(text, F.lit(r"<<-?[ \t]*+['\"\\]?(\w++)"), F.lit(1))
+    lines = F.transform(F.split(text, "\n"), lambda line: F.ltrim(line, F.lit("\t")))
+    words = F.array_join(F.array_intersect(opened, lines), "|")
+    return F.when(F.contains(text, F.lit("<<")) & (words != ""), words).otherwise(_NO_WORD)
+
+
 def _with_regions(text):
+    pattern = F.replace(F.lit(_REGIONS), F.lit(_END_WORDS), _end_words(text))
     marked = _marked(
-        text, _REGIONS, _REGIONS_MARKED, (_RAW, _RAW_END), (_REGION, _REGION_END)
+        text, pattern, _REGIONS_MARKED, (_RAW, _RAW_END), (_REGION, _REGION_END)
     )
     return F.when(text.rlike(r"\"[^\"]*(?:\$\(|`)|<<"), marked).otherwise(text)
 

@@ -124,7 +124,8 @@ def test_long_texts(spark):
         ('"$(' * 20001 + "\nrm", 1),
         ("a " * 200000 + "\nrm", 1),
         ("<< x " * 20000 + "\nrm", 1),
-        ("x << y\n" * 2000 + "rm", 1),
+        ("x << y\n" * 140000 + "rm", 1),
+        ("cat << E\nrm\nE\n" * 20000 + "rm", 1),
     ]
     counts = [len(rows) for rows in run(spark, [text for text, _ in texts])]
     assert counts == [count for _, count in texts]

@@ -38,15 +38,29 @@ def stored(df, purpose):
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def remove_stored(df):
-    """Delete the folders that ``stored`` made for ``df``, which is not read any more."""
-    spark = df.sparkSession
-    root = checkpoint_root(spark).rstrip("/")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    parent = jvm.org.apache.hadoop.fs.Path(root)
-    parent = parent.getFileSystem(conf).makeQualified(parent).toString().rstrip("/")
-    for name in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        qualified = path.getFileSystem(conf).makeQualified(path).toString()
-        if qualified.startswith(f"{parent}/"):
-            path.getFileSystem(conf).delete(path, True)
+class Scratch:
+    """Stored tables that are deleted once nothing reads them any more.
+
+    Tables named in ``keep`` stay; so do all if the work breaks off, for a look at them.
+    """
+
+    def __init__(self, spark):
+        self.spark, self.folders = spark, {}
+
+    def stored(self, df, purpose):
+        folder = shared_folder(self.spark, purpose)
+        df.write.parquet(folder)
+        table = self.spark.read.schema(df.schema).parquet(folder)
+        self.folders[folder] = table
+        return table
+
+    def drop(self, keep=()):
+        """Delete the folders of all tables but those in ``keep``."""
+        kept = {}
+        for folder, table in self.folders.items():
+            if any(table is other for other in keep):
+                kept[folder] = table
+                continue
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.folders = kept

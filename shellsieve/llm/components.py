@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shellsieve.llm.common import stored
+from shellsieve.sources.checkpoints import Scratch
 
 
 def _state(edges: DataFrame):
@@ -21,6 +21,8 @@ def components(links: DataFrame) -> DataFrame:
     A round is a grouping and a join on the node; least neighbours are stored before the join,
     so that both sides are shuffled and a node with very many links can be split.
     """
+    scratch = Scratch(links.sparkSession)
+    stored = scratch.stored
     a, b = F.col(links.columns[0]), F.col(links.columns[1])
     edges = stored(
         links.filter(a != b)
@@ -51,6 +53,7 @@ def components(links: DataFrame) -> DataFrame:
             lower.unionByName(least.select("high", F.col("least").alias("low"))).distinct(),
             "small-star",
         )
+        scratch.drop(keep=[edges])
         before, state = state, _state(edges)
         if state == before:
             break

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shellsieve.llm.common import col, lower_ascii, stored
+from shellsieve.sources.checkpoints import Scratch
 
 BLOCK_BYTES = 4096
 
@@ -44,7 +45,7 @@ def _named(distinct: DataFrame, *by: str) -> DataFrame:
     return distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
-def _first_names(docs: DataFrame, block_bytes: int, keys) -> tuple[DataFrame, DataFrame]:
+def _first_names(docs: DataFrame, block_bytes: int, keys, stored) -> tuple[DataFrame, DataFrame]:
     """Rows (row, doc_id, text_sha256, keys) and block names (key, name), both stored."""
     for key in keys:
         blocks = docs.select("doc_id", "text", _blocks(F.col("text"), block_bytes).alias("blocks"))
@@ -82,9 +83,10 @@ def block_identities(
     """
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     base = docs.select(col(id_col).alias("doc_id"), lower_ascii(text).alias("text"))
-    rows, names = _first_names(base, block_bytes, keys)
+    scratch = Scratch(docs.sparkSession)
+    rows, names = _first_names(base, block_bytes, keys, scratch.stored)
     at = rows.select("row", F.size("keys").alias("n"), F.posexplode("keys").alias("pos", "key"))
-    at = stored(at.join(names, "key").select("row", "n", "pos", "name"), "level-0")
+    at = scratch.stored(at.join(names, "key").select("row", "n", "pos", "name"), "level-0")
     most = rows.agg(F.max(F.size("keys"))).first()[0] or 1
     ended, level = [at.filter("n = 1").select("row", F.lit(0).alias("level"), "name")], 0
     while most > 1:
@@ -96,18 +98,20 @@ def block_identities(
             # The last name of an odd row has no right neighbour.
             F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("right"),
         )
-        pairs = stored(pairs, f"pairs-{level}")
-        names = stored(
+        pairs = scratch.stored(pairs, f"pairs-{level}")
+        names = scratch.stored(
             _named(pairs.select("left", "right").distinct(), "left", "right"), f"pair-names-{level}"
         )
         half = F.expr("(n + 1) div 2").cast("int").alias("n")
         at = pairs.join(names, ["left", "right"]).select("row", half, "pos", "name")
-        at = stored(at, f"level-{level}")
+        at = scratch.stored(at, f"level-{level}")
         ended.append(at.filter("n = 1").select("row", F.lit(level).alias("level"), "name"))
     idents = ended[0]
     for more in ended[1:]:
         idents = idents.unionByName(more)
-    return stored(rows.drop("keys").join(idents, "row"), "identities")
+    out = stored(rows.drop("keys").join(idents, "row"), "identities")
+    scratch.drop()
+    return out
 
 
 def exact_duplicates(

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shellsieve.llm.common import col, digest, fresh, join_back, stored
+from shellsieve.sources.checkpoints import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MAX_COPIES, SEED = (3.0, 1.0, 2.0), 1.5, 2, 42
@@ -134,15 +135,15 @@ def _thresholds(rows: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("digest"))
     tie = F.xxhash64(F.lit(seed), F.col("row"))
     open_ = rows.join(F.broadcast(goals), "pattern_no").select("pattern_no", "goal", "row", "size", key.alias("h1"), tie.alias("h2"))
-    done = []
+    done, scratch = [], Scratch(rows.sparkSession)
     places = [("h1", s) for s in (52, 40, 28, 16, 4)] + [("h2", s) for s in (52, 40, 28, 16, 4)]
     for name, shift in places:
         digit = F.shiftrightunsigned(name, shift).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
-        open_ = stored(open_.withColumn("digit", digit), "mix-open")
+        open_ = scratch.stored(open_.withColumn("digit", digit), "mix-open")
         sums = open_.groupBy("pattern_no", "goal", "digit").agg(F.sum("size").alias("words"))
         order = Window.partitionBy("pattern_no").orderBy("digit")
         sums = sums.withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        edges = stored(
+        edges = scratch.stored(
             sums.groupBy("pattern_no").agg(
                 F.min(F.when(F.col("upto") > F.col("goal"), F.col("digit"))).alias("edge"),
                 F.max(F.when(F.col("upto") <= F.col("goal"), F.col("upto"))).alias("taken"),
@@ -153,7 +154,7 @@ def _thresholds(rows: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
         below = F.col("edge").isNull() | (F.col("digit") < F.col("edge"))
         done.append(at.filter(below).select("row"))
         left = F.col("goal") - F.coalesce("taken", F.lit(0))
-        open_ = stored(
+        open_ = scratch.stored(
             at.filter(F.col("digit") == F.col("edge")).select("pattern_no", left.alias("goal"), "row", "size", "h1", "h2"),
             "mix-edge",
         )
@@ -167,6 +168,7 @@ def _thresholds(rows: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
     for more in done:
         taken = taken.unionByName(more)
     taken = stored(taken, "mix-taken")
+    scratch.drop()
     return rows.join(taken.withColumn("extra", F.lit(True)), "row", "left").withColumn(
         "extra", F.coalesce("extra", F.lit(False))
     )

@@ -27,6 +27,7 @@ from pyspark.sql.types import LongType
 
 from shellsieve.llm.common import col, digest, join_back, ship, stored
 from shellsieve.llm.components import components
+from shellsieve.sources.checkpoints import Scratch
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -101,12 +102,13 @@ def _byte(fp, position: int):
     return F.shiftrightunsigned(fp, 8 * position).bitwiseAND(F.lit(255))
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Pairs (a, b) of different fingerprints that connect all at most two bits apart.
 
     ``prints`` has distinct values ``fp``. Every pair is a true link; where a key is shared by
     more than ``PAIRED_UP_TO`` fingerprints, some links that others imply are left out.
     """
+    stored = (scratch or Scratch(prints.sparkSession)).stored
     free = {}
     keys = []
     for number, units in enumerate(itertools.combinations(range(4), 2)):
@@ -162,16 +164,19 @@ def links(prints: DataFrame) -> DataFrame:
 
 def _classes(rows: DataFrame) -> DataFrame:
     """fp, root of its component and component_id of every distinct fingerprint of stored ``rows``."""
-    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    roots = components(links(prints.select("fp")))
-    prints = stored(
+    scratch = Scratch(rows.sparkSession)
+    prints = scratch.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    roots = components(links(prints.select("fp"), scratch))
+    prints = scratch.stored(
         prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
             "fp", "least", F.coalesce("root", "fp").alias("root")
         ),
         "prints-rooted",
     )
-    least = stored(prints.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
-    return stored(prints.join(least, "root").select("fp", "root", "component_id"), "classes")
+    least = scratch.stored(prints.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    out = stored(prints.join(least, "root").select("fp", "root", "component_id"), "classes")
+    scratch.drop()
+    return out
 
 
 def near_duplicates(

@@ -7,6 +7,7 @@ file of the attempt that succeeded, so repeated and speculative tasks do no harm
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,10 +24,16 @@ from shellsieve.sources.checkpoints import shared_folder
 
 END_ID = 2
 #: Words whose ids a worker remembers, and the longest of them; more are forgotten at once.
-CACHE_WORDS, CACHE_BYTES = 500_000, 64
+CACHE_WORDS, CACHE_BYTES = 800_000, 64
 #: Rows and bytes of texts that are encoded at once.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
+#: Latin letters (ASCII and U+00C0 to U+00FF but the two signs among them), then ASCII signs.
+_RUNS = re.compile(
+    rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)"
+)
+_RUN_CHARACTERS = [chr(c) for c in range(0x100) if _RUNS.fullmatch(chr(c).encode())]
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -34,17 +41,25 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and no token or normalisation reaches across it, so the
-    ids of a text are those of its pieces between ASCII white space, and the ids of a piece
+    ids of a text are those of its words between ASCII white space, and the ids of a word
     are worked out once while it is remembered. The tokenizer folds case by itself; folding
-    A-Z of pieces that are ASCII beforehand only makes more of them equal.
+    A-Z of words that are ASCII beforehand only makes more of them equal.
+
+    It also parts letters from other characters. Where a word is a run of Latin letters or of
+    ASCII signs but the apostrophe, or one after the other, each run is one unit to it and
+    nothing but case changes in it, so the lowered run goes straight to the tokenizer's model.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.ids: dict[bytes, bytes] = {}
+        # The letters that the model spells each character of a run with.
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelt = {ord(c): "".join(x for x, _ in spell(c)) for c in _RUN_CHARACTERS}
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -53,10 +68,31 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def _encode(self, pieces: list[bytes]) -> list[bytes]:
-        texts = [piece.decode("utf-8", "replace") for piece in pieces]
+    def _encode_run(self, run: bytes) -> bytes:
+        found = self.tokenizer.model.tokenize(run.decode().lower().translate(self.spelt))
+        return b"".join(token.id.to_bytes(4, "little") for token in found)
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Remember the ids of new words."""
+        ids, others = self.ids, []
+        for word in words:
+            match = _RUNS.fullmatch(word)
+            if not match:
+                others.append(word)
+                continue
+            found = b""
+            for run in filter(None, match.groups()):
+                part = ids.get(run)
+                if part is None:
+                    part = self._encode_run(run)
+                    if len(run) <= CACHE_BYTES:
+                        ids[run] = part
+                found += part
+            ids[word] = found
+        texts = [word.decode("utf-8", "replace") for word in others]
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in found]
+        for word, x in zip(others, found, strict=True):
+            ids[word] = b"".join(i.to_bytes(4, "little") for i in x.ids)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         parted = [
@@ -68,12 +104,11 @@ class Encoder:
         if len(self.ids) + len(new) > CACHE_WORDS:
             self.ids.clear()
             new = set().union(*parted)
-        long = [piece for piece in new if len(piece) > CACHE_BYTES]
-        new = list(new)
-        self.ids.update(zip(new, self._encode(new), strict=True))
+        self._learn(new)
         out = [b"".join(map(self.ids.__getitem__, words)) for words in parted]
-        for piece in long:
-            del self.ids[piece]
+        for word in new:
+            if len(word) > CACHE_BYTES:
+                del self.ids[word]
         return out
 
 
@@ -91,7 +126,10 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int | None,
 
 
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    """A file system and the folder's path in it."""
+    if "://" in folder or folder.startswith("file:"):
+        return fs.FileSystem.from_uri(folder)
+    return fs.LocalFileSystem(), folder
 
 
 def write_tokens(

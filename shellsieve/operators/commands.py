@@ -30,15 +30,18 @@ _STRING = r'"(?:[^"\\]++|\\(?s:.))*+"'
 _COMMENT = r"#(?<![^\s;&|()]#)[^\n]*+"
 _REGEX_OPERAND = r"=~[ \t]++\S++"
 _ARITHMETIC = r"\(\((?:[^()\n]++|\([^()\n]*+\))*+\)\)"
-_NOT_CODE = "|".join(
-    (_ESCAPED, _ANSI_QUOTED, _QUOTED, _REGEX_OPERAND, _ARITHMETIC, _COMMENT)
-)
+_NO_CODE = (_ESCAPED, _ANSI_QUOTED, _QUOTED, _REGEX_OPERAND, _COMMENT)
+_NOT_CODE = "|".join((*_NO_CODE, _ARITHMETIC))
 
 _BACKTICKED = r"`(?:[^`\\]++|\\(?s:.))*+`"
 _NESTED = rf"\((?:[^()\"'\\]++|{_ESCAPED}|{_STRING}|{_QUOTED})*+\)"
 _DOLLAR_PAREN = rf"\$\((?:[^()\"'\\]++|{_ESCAPED}|{_STRING}|{_QUOTED}|{_NESTED})*+\)"
 _SUBSTITUTION = f"(?:{_DOLLAR_PAREN}|{_BACKTICKED})"
 _PLAIN_STRING = rf'"(?:[^"\\$`]++|{_ESCAPED}|\$(?!\())*+"'
+_PLAIN_ARITHMETIC = r"\(\((?:[^()\n$`]++|\$(?!\()|\((?:[^()\n$`]++|\$(?!\())*+\))*+\)\)"
+_SUBSTITUTING_ARITHMETIC = (
+    rf"\(\((?:[^()\n$`]++|{_SUBSTITUTION}|\$(?!\()|\((?:[^()\n$`]++|{_SUBSTITUTION}|\$(?!\())*+\))*+\)\)"
+)
 _SUBSTITUTING_STRING = rf'"(?:[^"\\$`]++|{_ESCAPED}|{_SUBSTITUTION}|[$`])*+"'
 
 # The rest of the opening line. A line is taken from its last opener on, so that a line
@@ -48,12 +51,12 @@ _OPENING_LINE = r"[^\n<]*+(?:<(?!<)[^\n<]*+)*+"
 # consists of opens none, and the rest of the text need not be searched for its end.
 _END_WORDS, _NO_WORD = "END-WORDS", "(?!)"
 _REGIONS = (
-    rf"(?<skip>{_NOT_CODE}|{_PLAIN_STRING})"
+    rf"(?<skip>{'|'.join(_NO_CODE)}|{_PLAIN_STRING}|{_PLAIN_ARITHMETIC})"
     rf"|(?<rawopener>(?<!<)<<-?[ \t]*+['\"\\](?<rawend>(?:{_END_WORDS})(?!\w))['\"]?{_OPENING_LINE})"
     r"(?<raw>\n(?:(?s:.)*?\n)??\t*+\k<rawend>)(?=\n|\z)"
     rf"|(?<opener>(?<!<)<<-?[ \t]*+(?<end>(?:{_END_WORDS})(?!\w)){_OPENING_LINE})"
     r"(?<body>\n(?:(?s:.)*?\n)??\t*+\k<end>)(?=\n|\z)"
-    rf"|(?<string>{_SUBSTITUTING_STRING})"
+    rf"|(?<string>{_SUBSTITUTING_STRING}|{_SUBSTITUTING_ARITHMETIC})"
 )
 _REGIONS_MARKED = (
     "${skip}${rawopener}" + _RAW + "${raw}" + _RAW_END
@@ -139,7 +142,11 @@ def _with_regions(text):
     marked = _marked(
         text, pattern, _REGIONS_MARKED, (_RAW, _RAW_END), (_REGION, _REGION_END)
     )
-    return F.when(text.rlike(r"\"[^\"]*(?:\$\(|`)|<<"), marked).otherwise(text)
+    nested = F.contains(text, F.lit("((")) & (
+        F.contains(text, F.lit("$(")) | F.contains(text, F.lit("`"))
+    )
+    regions = text.rlike(r"\"[^\"]*(?:\$\(|`)|<<")
+    return F.when(nested | regions, marked).otherwise(text)
 
 
 def _with_substitutions(text):

@@ -75,6 +75,10 @@ CASES = [
     ("cat <<A <<B\nrm\nA\nrm\nB\ncurl", ["curl"]),
     ("\x01\x02rm x; \x04curl y\n\x06sudo\n rm", ["rm"]),
     ("case w in a) rm x;; esac", ["rm"]),
+    ("echo $(( $(rm x) + 1 )); curl", ["rm", "curl"]),
+    ("(( `rm x` > (2) )) && curl y", ["rm", "curl"]),
+    ("(( (1 + $(rm x)) * $y ))", ["rm"]),
+    ("x=$(( y + $z )); (( rm )); ((i++)); rm q", ["rm"]),
 ]
 
 # What a real parse would answer differently; see the README.

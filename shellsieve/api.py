@@ -9,6 +9,7 @@ from shellsieve.catalog import builtin_rules
 from shellsieve.operators.findings import counts_by_level, totals
 from shellsieve.operators.scan import scan
 from shellsieve.plans.report import report, write_report
+from shellsieve.sources.checkpoints import Scratch
 from shellsieve.sources.files import read_scripts
 from shellsieve.sources.rules import configured_rules
 
@@ -26,7 +27,9 @@ class Analysis:
         return report(form, self.scripts, self.findings, self.started, **options)
 
     def write_report(self, path, form="text", **options):
-        write_report(self.report(form, **options), path)
+        scratch = Scratch(self.findings.sparkSession)
+        write_report(self.report(form, store=scratch.stored, **options), path)
+        scratch.drop()
 
 
 def analyze(spark, path, recursive=False, min_risk=None, custom_rules_path=None, ignored=()):

@@ -58,17 +58,18 @@ def by_discovery():
     return [F.col(name).asc() for name in DISCOVERY]
 
 
-def numbered(findings, order, name="finding_no", costly=True):
+def numbered(findings, order, name="finding_no", costly=True, store=stored):
     """``findings`` with their position 1..n in ``order``, computed in parallel.
 
     Rows are range-partitioned and sorted, so a row's number is its place in its partition
     plus the size of the partitions before it. The sorted rows are stored, because counting
     and numbering must see the same bounds. ``costly`` rows are stored before sorting too,
-    so that sampling the bounds does not scan the texts a second time.
+    so that sampling the bounds does not scan the texts a second time. ``store`` writes a
+    table for a purpose and reads it back; that of a ``Scratch`` can delete it afterwards.
     """
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = stored(findings, "findings") if costly else findings
-    ranged = stored(
+    rows = store(findings, "findings") if costly else findings
+    ranged = store(
         rows.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select("*", F.spark_partition_id().alias("__part"), local.alias("__local")),

@@ -15,6 +15,7 @@ from shellsieve.operators.findings import (
     by_discovery, by_level_text, by_severity, counts_by_level, numbered, totals,
 )
 from shellsieve.schemas import REPORT_FINDING
+from shellsieve.sources.checkpoints import stored
 
 FORMATS = ("text", "json", "html")
 TIME_FORMAT = "%Y-%m-%d %H:%M:%S"
@@ -29,11 +30,12 @@ _STYLE = (
 
 
 def report(form, scripts, findings, started=None, ended=None, language="en",
-           legacy_html_order=False):
+           legacy_html_order=False, store=stored):
     """Report of ``findings`` in ``form``: text (default of the tools), json or html.
 
     ``legacy_html_order`` sorts an HTML report by level name in descending text order
-    instead of by severity.
+    instead of by severity. ``store`` as in ``numbered``: the report reads what it stored
+    until it is written.
     """
     if form not in FORMATS:
         raise ValueError(f"unknown report format {form!r}, expected one of {FORMATS}")
@@ -41,9 +43,9 @@ def report(form, scripts, findings, started=None, ended=None, language="en",
     order = by_level_text() if form == "html" and legacy_html_order else by_severity()
     # Numbering stores the findings, so the scan is over when the end is taken.
     if form == "json":
-        listed = numbered(findings, by_discovery(), "item")
+        listed = numbered(findings, by_discovery(), "item", store=store)
     else:
-        listed = numbered(findings, order)
+        listed = numbered(findings, order, store=store)
     ended = ended or datetime.now()
     clock = {
         "start_time": started.strftime(TIME_FORMAT),
@@ -51,7 +53,7 @@ def report(form, scripts, findings, started=None, ended=None, language="en",
         "duration_seconds": (ended - started).total_seconds(),
     }
     if form == "json":
-        return _json_report(scripts, listed, clock)
+        return _json_report(scripts, listed, clock, store)
     summary = totals(scripts, counts_by_level(listed))
     level = risk_level_name(F.col("risk_level"), language)
     if form == "html":
@@ -149,10 +151,11 @@ def _html_card(level):
     )
 
 
-def _json_report(scripts, listed, clock):
+def _json_report(scripts, listed, clock, store):
     """One JSON document with one file and one finding per line."""
     keep_nulls = {"ignoreNullFields": "false"}
-    files = numbered(scripts.select("path"), [F.col("path").asc()], "item", costly=False)
+    by_path = [F.col("path").asc()]
+    files = numbered(scripts.select("path"), by_path, "item", costly=False, store=store)
     counts = counts_by_level(listed)
 
     def element(value):

@@ -1,6 +1,7 @@
 import json
 import time
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from shellsieve.operators.counts import level_totals, rule_counts
 from shellsieve.operators.findings import by_severity, counts_by_level, numbered, totals
 from shellsieve.plans.report import FORMATS
 from shellsieve.sources import reports
+from shellsieve.sources.checkpoints import checkpoint_root
 from shellsieve.sources.files import read_scripts, table_scripts
 from shellsieve.sources.rules import check_rules, configured_rules, read_rules
 
@@ -99,9 +101,18 @@ def test_the_reported_time_covers_the_scan(spark, scanned):
     assert 160 * 0.05 / 8 <= seconds <= time.perf_counter() - started
 
 
+def stored_folders(spark):
+    root = Path(checkpoint_root(spark).removeprefix("file://"))
+    return {path.name for path in root.glob("*-*")}
+
+
 def test_analyze(spark, tree, tmp_path):
     analysis = analyze(spark, tree, recursive=True, min_risk="High", ignored=["CMD_EXEC"])
     assert analysis.totals().first().total_findings == 2
+    before = stored_folders(spark)
+    for form in FORMATS:
+        analysis.write_report(str(tmp_path / form), form)
+    assert stored_folders(spark) == before
     analysis.write_report(str(tmp_path / "out"), "text")
     text = document(tmp_path / "out")
     assert "Scripts: 7\nFindings: 2\n" in text and "Finding 2\n" in text

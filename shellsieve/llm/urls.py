@@ -90,7 +90,8 @@ def url_verdicts(
     best = _best_rules(pages.select("host", "path").distinct(), rules, lengths)
     best = stored(best, "verdicts").withColumnsRenamed({"host": "of_host", "path": "of_path"})
     on = (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path"))
-    return pages.join(best, on, "left").select(
+    # Never broadcast: it has a row per URL, however well its files are packed.
+    return pages.join(best.hint("merge"), on, "left").select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
     )
 

@@ -134,7 +134,9 @@ def _thresholds(rows: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
     """
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("digest"))
     tie = F.xxhash64(F.lit(seed), F.col("row"))
-    open_ = rows.join(F.broadcast(goals), "pattern_no").select("pattern_no", "goal", "row", "size", key.alias("h1"), tie.alias("h2"))
+    columns = ["pattern_no", "goal", "row", "size", "h1", "h2"]
+    open_ = rows.withColumns({"h1": key, "h2": tie})
+    open_ = open_.join(F.broadcast(goals), "pattern_no").select(*columns)
     done, scratch = [], Scratch(rows.sparkSession)
     places = [("h1", s) for s in (52, 40, 28, 16, 4)] + [("h2", s) for s in (52, 40, 28, 16, 4)]
     for name, shift in places:
@@ -154,10 +156,8 @@ def _thresholds(rows: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
         below = F.col("edge").isNull() | (F.col("digit") < F.col("edge"))
         done.append(at.filter(below).select("row"))
         left = F.col("goal") - F.coalesce("taken", F.lit(0))
-        open_ = scratch.stored(
-            at.filter(F.col("digit") == F.col("edge")).select("pattern_no", left.alias("goal"), "row", "size", "h1", "h2"),
-            "mix-edge",
-        )
+        rest = at.filter(F.col("digit") == F.col("edge")).withColumn("goal", left)
+        open_ = scratch.stored(rest.select(*columns), "mix-edge")
         if open_.count() <= ORDERED_ROWS:
             break
     order = Window.partitionBy("pattern_no").orderBy("h1", "h2")

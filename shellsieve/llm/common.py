@@ -77,7 +77,7 @@ def ship(spark: SparkSession) -> None:
 
 def digest(text: Column) -> Column:
     """Together with the id it stands for a row in narrow tables; null has a value of its own."""
-    return F.xxhash64(text, text.isNull())
+    return F.xxhash64(text.cast("string"), text.isNull())
 
 
 __all__ = [

@@ -195,24 +195,31 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS
-) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, nulls last.
+def one_of_each(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the row of the smallest id, nulls last, of each root of ``members``.
 
-    Of rows that share id and text one stays.
+    ``members`` has doc_id, digest and root of every row. Of rows that share id and text one stays.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = _classes(rows)
-    members = rows.join(classes, "fp")
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"))).alias("one")
     keep = stored(
         members.groupBy("root").agg(first).select("one.doc_id", "one.digest").distinct(), "kept"
     )
     out = join_back(docs, keep, id_col, text_col, "left_semi")
-    again = rows.join(keep.withColumnRenamed("doc_id", "id"), "digest").filter(
+    again = members.join(keep.withColumnRenamed("doc_id", "id"), "digest").filter(
         F.col("doc_id").eqNullSafe(F.col("id"))
     )
     if again.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
         return out
     return out.dropDuplicates([id_col, text_col])
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS
+) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, nulls last.
+
+    Of rows that share id and text one stays.
+    """
+    rows = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    classes = _classes(rows)
+    return one_of_each(docs, rows.join(classes, "fp"), id_col, text_col)

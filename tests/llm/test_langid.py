@@ -72,3 +72,17 @@ def test_odd_rows(spark):
     nothing = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     (row,) = identify_languages(nothing).collect()
     assert (row.lang_pred, row.score) == ("und", 0.0)
+
+
+def test_scores_decide_what_is_undetermined(spark):
+    parts = {"x": "abc ", "y": "fgh ", "z": "pqr "}
+    rows = [(i, part * (20 + i), lang) for lang, part in parts.items() for i in range(10)]
+    rows.append((99, "".join(part * 40 for part in parts.values()), None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in drop_undetermined(docs).collect()) == sorted(list(range(10)) * 3)
+
+
+def test_texts_stay_where_nothing_can_be_learned(spark):
+    rows = [(1, "some text", None), (2, "12 34", None), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [r.doc_id for r in drop_undetermined(docs).collect()] == [1]

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shellsieve.llm.common import col, ship
+from shellsieve.llm.common import col, ship, stored
 
 #: Bytes of a run, size of a state, and runs that go through the network at once.
 RUN, HIDDEN, BATCH = 64, 8, 4096
@@ -200,19 +200,23 @@ def fit(samples: Sequence[tuple[str, bytes]], run: int = RUN, steps: int = STEPS
 
 def _sample(labelled: DataFrame, seed: int) -> list[tuple[str, bytes]]:
     """At most ``TEXTS`` texts of each language, at most ``RUNS`` runs spread over each."""
-    counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    # Different texts count, by their hash, so that copies neither crowd out others nor pile up.
+    labelled = labelled.withColumn("order", F.xxhash64(F.lit(seed), "text"))
+    different = stored(labelled.select("lang", "order").distinct(), "sample-texts")
+    counts = different.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return []
-    # Of a language's rows about three times as many as needed go to the ranking.
+    # Of a language's texts about three times as many as needed go to the ranking.
     place = F.pmod("order", F.lit(1 << 20))
     some = F.lit(False)
     for lang, n in counts:
         some |= (F.col("lang") == lang) & (place < F.lit(-(-(1 << 20) * 3 * TEXTS // n)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
-    chosen = labelled.withColumn("order", F.xxhash64(F.lit(seed), "text")).filter(some)
-    chosen = chosen.withColumn("rank", rank).filter(F.col("rank") <= TEXTS)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    wanted = different.filter(some).withColumn("rank", rank).filter(F.col("rank") <= TEXTS)
+    wanted = F.broadcast(wanted.select("lang", "order"))
+    chosen = labelled.join(wanted, ["lang", "order"]).groupBy("lang", "order").agg(F.min("text").alias("text"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

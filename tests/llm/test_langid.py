@@ -86,3 +86,15 @@ def test_texts_stay_where_nothing_can_be_learned(spark):
     rows = [(1, "some text", None), (2, "12 34", None), (3, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert [r.doc_id for r in drop_undetermined(docs).collect()] == [1]
+
+
+def test_a_language_of_few_different_texts_is_learned(spark):
+    """Copies do not take a language's texts out of the sample."""
+    few = [(f"{c * 3}{c} {c}{c}", "few") for c in "abcdefghij"] * 4000
+    many = [(f"zz {i}", "many") for i in range(300)]
+    df = spark.createDataFrame(few + many, "text string, lang string")
+    for seed in range(3):
+        found = langid._sample(df, seed)
+        assert {run for lang, run in found if lang == "few"} == {t.encode() for t, _ in few}
+        assert sum(lang == "few" for lang, _ in found) == 10
+        assert sum(lang == "many" for lang, _ in found) == langid.TEXTS

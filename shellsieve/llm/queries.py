@@ -11,6 +11,7 @@ from shellsieve.llm.htmltext import extract_text
 from shellsieve.llm.langid import identify_languages
 from shellsieve.llm.lm import BACKOFF, MIN_COUNT, VOCABULARY, lm_scores
 from shellsieve.llm.mix import mix
+from shellsieve.llm.periods import periodic_runs, with_planted_runs
 from shellsieve.llm.simhash import near_duplicates
 from shellsieve.llm.tokencount import token_counts
 from shellsieve.llm.tokens import token_files
@@ -94,11 +95,30 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    run = "named_struct('less', -r.length, 'start', r.start, 'period', r.period)"
+    return found.withColumn("best", F.expr(f"array_min(transform(runs, r -> {run}))")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("(-1000 * best.less) div best.period").alias("exponent_milli"),
+        F.expr(
+            "sha2(array_join(transform(runs, r -> concat(concat_ws(',', r.start, r.length, r.period),"
+            " '\n')), ''), 256)"
+        ).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_decontamination, op3_language_id, op4_html_text, op5_simhash,
         op6_lm_scores, op7_token_counts, op8_url_filter, op9_mixing, op10_exact_dedup,
+        op11_periodic_runs,
     )
 }
 

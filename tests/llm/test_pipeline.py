@@ -17,7 +17,7 @@ def test_query_equals_its_sql(spark, name):
 
 def test_registered():
     names = [name for name in entry.queries() if name.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.fixture(scope="module")

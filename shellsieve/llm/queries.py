@@ -12,6 +12,7 @@ from shellsieve.llm.langid import identify_languages
 from shellsieve.llm.lm import BACKOFF, MIN_COUNT, VOCABULARY, lm_scores
 from shellsieve.llm.mix import mix
 from shellsieve.llm.periods import periodic_runs, with_planted_runs
+from shellsieve.llm.search import best_documents
 from shellsieve.llm.simhash import near_duplicates
 from shellsieve.llm.tokencount import token_counts
 from shellsieve.llm.tokens import token_files
@@ -113,16 +114,21 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_decontamination, op3_language_id, op4_html_text, op5_simhash,
         op6_lm_scores, op7_token_counts, op8_url_filter, op9_mixing, op10_exact_dedup,
-        op11_periodic_runs,
+        op11_periodic_runs, op12_lexical_search,
     )
 }
 
 _FOLD = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_FOLD.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _WORDS = rf"regexp_extract_all({_FOLD.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
@@ -209,5 +215,29 @@ WITH docs AS (SELECT doc_id, sha256({_FOLD.format('text')}) AS text_sha256,
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, text_sha256
 FROM docs WINDOW same AS (PARTITION BY folded)
+""",
+    "op12_lexical_search": f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+totals AS (
+  SELECT CAST(count(*) FILTER (len(terms) > 0) AS BIGINT) AS n_docs,
+         CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM docs),
+items AS (SELECT row_number() OVER () AS item, item_id, list_distinct({_TERMS}) AS terms FROM benchmark),
+asked AS (SELECT item, unnest(terms) AS term FROM items),
+entries AS (
+  SELECT row, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+  FROM (SELECT row, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY row, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM entries, totals GROUP BY term),
+scored AS (
+  SELECT item, row, any_value(doc_id) AS doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM entries JOIN weights USING (term) JOIN asked USING (term), totals GROUP BY item, row),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN items USING (item)
+WHERE rank <= 10
 """,
 }

@@ -11,6 +11,7 @@ from shellsieve.llm.htmltext import extract_text
 from shellsieve.llm.langid import identify_languages
 from shellsieve.llm.lm import BACKOFF, MIN_COUNT, VOCABULARY, lm_scores
 from shellsieve.llm.mix import mix
+from shellsieve.llm.passages import without_repeated_passages
 from shellsieve.llm.periods import periodic_runs, with_planted_runs
 from shellsieve.llm.search import best_documents
 from shellsieve.llm.simhash import near_duplicates
@@ -118,12 +119,18 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_passages(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_decontamination, op3_language_id, op4_html_text, op5_simhash,
         op6_lm_scores, op7_token_counts, op8_url_filter, op9_mixing, op10_exact_dedup,
-        op11_periodic_runs, op12_lexical_search,
+        op11_periodic_runs, op12_lexical_search, op13_substring_dedup,
     )
 }
 
@@ -239,5 +246,25 @@ ranked AS (
   FROM scored WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN items USING (item)
 WHERE rank <= 10
+""",
+    "op13_substring_dedup": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT row, doc_id, i, array_to_string(words[i : i + 12], ' ') AS window
+  FROM (SELECT row, doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM docs WHERE len(words) > 12)),
+hits AS (
+  SELECT row, i FROM windows
+  JOIN (SELECT window, min(doc_id) AS first FROM windows GROUP BY window HAVING count(*) > 1) USING (window)
+  WHERE first < doc_id),
+removed AS (SELECT DISTINCT row, unnest(range(i, i + 13)) AS place FROM hits),
+kept AS (
+  SELECT row, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n
+  FROM (SELECT row, unnest(range(1, len(words) + 1)) AS place, unnest(words) AS word FROM docs)
+  ANTI JOIN removed USING (row, place) GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+       CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (row)
 """,
 }

@@ -252,12 +252,12 @@ WITH docs AS (
   SELECT row_number() OVER () AS row, doc_id,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 windows AS (
-  SELECT row, doc_id, i, array_to_string(words[i : i + 12], ' ') AS window
+  SELECT row, doc_id, i, array_to_string(words[i : i + 12], ' ') AS gram
   FROM (SELECT row, doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM docs WHERE len(words) > 12)),
 hits AS (
   SELECT row, i FROM windows
-  JOIN (SELECT window, min(doc_id) AS first FROM windows GROUP BY window HAVING count(*) > 1) USING (window)
-  WHERE first < doc_id),
+  JOIN (SELECT gram, min(doc_id) AS least FROM windows GROUP BY gram HAVING count(*) > 1) USING (gram)
+  WHERE least < doc_id),
 removed AS (SELECT DISTINCT row, unnest(range(i, i + 13)) AS place FROM hits),
 kept AS (
   SELECT row, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n

@@ -48,6 +48,10 @@ class Encoder:
     It also parts letters from other characters. Where a word is a run of Latin letters or of
     ASCII signs but the apostrophe, or one after the other, each run is one unit to it and
     nothing but case changes in it, so the lowered run goes straight to the tokenizer's model.
+
+    Tokens added to the vocabulary, like one for the end of a text, are found in the text as it
+    is, in the middle of a word too. A word that holds one, in any case of letters, goes to the
+    tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -55,7 +59,10 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(t.split() != [t] for t in added):
+            raise ValueError("an added token holds white space")
+        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added) or b"(?!)", re.IGNORECASE)
         self.ids: dict[bytes, bytes] = {}
         # The letters that the model spells each character of a run with.
         spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
@@ -77,7 +84,7 @@ class Encoder:
         ids, others = self.ids, []
         for word in words:
             match = _RUNS.fullmatch(word)
-            if not match:
+            if not match or self.added.search(word):
                 others.append(word)
                 continue
             found = b""
@@ -94,12 +101,16 @@ class Encoder:
         for word, x in zip(others, found, strict=True):
             ids[word] = b"".join(i.to_bytes(4, "little") for i in x.ids)
 
+    def _words(self, text: bytes) -> list[bytes]:
+        """Words, A-Z lowered where that changes no ids."""
+        if self.added.search(text):
+            return [w.lower() if w.isascii() and not self.added.search(w) else w for w in text.split()]
+        if text.isascii():
+            return text.lower().split()
+        return [w.lower() if w.isascii() else w for w in text.split()]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        parted = [
-            text.lower().split() if text.isascii()
-            else [w.lower() if w.isascii() else w for w in text.split()]
-            for text in texts
-        ]
+        parted = [self._words(text) for text in texts]
         new = set().union(*parted).difference(self.ids)
         if len(self.ids) + len(new) > CACHE_WORDS:
             self.ids.clear()

@@ -51,11 +51,12 @@ def test_ranks_across_blocks():
 
 def test_encoder_equals_the_library(monkeypatch):
     library = Tokenizer.from_file(tokenizer_path())
-    library.encode_special_tokens = True
     texts = [
         "", " ", "It's THE end, isn't it?", "É é İ ΑΣ ΑΣ. ß", "ẖ H̱ Ḧ̈", "<|endoftext|> x<|startoftext|>",
         "a\x0bb\x1cc\u00a0d\u2003e\u2028f\x00g", "x" * 300, "日本語 テキスト", "1234 5６7", "😀👍🏽", "don't'll 've'",
         "\u0301a \u0301", "A\u030a ÅÅ ﬁ", "ÀÉÎÕÜß×÷ÿÞ", "été, (été) É!! a.b c,d 'a ''s !!' __x__ \\n`", "a" * 200 + "," * 80,
+        "hello <|endoftext|> world <|startoftext|>x", "a<|endoftext|>b", "<|ENDOFTEXT|> <|endoftext|>",
+        "É<|endoftext|><|endoftext|>É <|EndOfText|>X", "Word " * 50 + "<|startoftext|>", "<|endoftext|", "<|end<|endoftext|>",
         "é\u0301, ,\u0338 x=\u0338 q\xad", "".join(map(chr, range(33, 256))),
     ]
     expected = [packed(library.encode(t, add_special_tokens=False).ids) for t in texts]

@@ -11,7 +11,7 @@ from shellsieve.llm.decontaminate import drop_contaminated
 from shellsieve.llm.langid import drop_undetermined
 from shellsieve.llm.mix import mixed
 from shellsieve.llm.queries import table, tokenizer_path
-from shellsieve.llm.similar import drop_similar
+from shellsieve.llm.simhash import drop_near_duplicates
 from shellsieve.llm.tokens import token_files
 
 
@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are similar to 0.8 or more."""
-    return drop_similar(docs)
+    """One document of each group that fingerprints of two bits' difference at most connect."""
+    return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

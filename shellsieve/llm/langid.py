@@ -23,17 +23,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shellsieve.llm.common import col, ship, stored
+from shellsieve.llm.common import col, ship, sized_broadcast
+from shellsieve.sources.checkpoints import Scratch
 
 #: Bytes of a run, size of a state, and runs that go through the network at once.
 RUN, HIDDEN, BATCH = 64, 8, 4096
-#: The sample: texts of a language, runs of a text (spread over all of it), languages.
-TEXTS, RUNS, MAX_LANGUAGES = 240, 24, 500
+#: The sample: texts of a language and runs of a text (spread over all of it).
+TEXTS, RUNS = 240, 24
 STEPS, STEP_RUNS, RATE, SEED = 150, 512, 0.02, 42
 UNDETERMINED = "und"
-#: Score below which a stage takes a text's language as undetermined. The least score of a text
-#: that was not learned from is 0.507 in sf0.01.
-FLOOR = 0.4
+#: Share of the texts not learned from whose scores may lie below the mark a stage goes by.
+LEAST_SHARE = 0.001
 
 
 def _soft(x: np.ndarray) -> np.ndarray:
@@ -118,8 +118,10 @@ class Model:
         last = np.cumsum(n_runs) - 1
         size = np.array([len(x) for x in texts])
         length[last[n_runs > 0]] = (size - (n_runs - 1) * run)[n_runs > 0]
-        for lo in range(0, len(owner), BATCH):
-            part = slice(lo, lo + BATCH)
+        # Of many languages fewer runs at once, so that their probabilities stay as small.
+        batch = max(64, BATCH * 16 // max(16, len(self.languages)))
+        for lo in range(0, len(owner), batch):
+            part = slice(lo, lo + batch)
             probs = self.positions(np.ascontiguousarray(data[part].T))
             inside = np.arange(run)[:, None] < length[part]
             sums = np.einsum("tkn,tn->nk", probs, inside.astype(np.float32))
@@ -202,20 +204,15 @@ def _sample(labelled: DataFrame, seed: int) -> list[tuple[str, bytes]]:
     """At most ``TEXTS`` texts of each language, at most ``RUNS`` runs spread over each."""
     # Different texts count, by their hash, so that copies neither crowd out others nor pile up.
     labelled = labelled.withColumn("order", F.xxhash64(F.lit(seed), "text"))
-    different = stored(labelled.select("lang", "order").distinct(), "sample-texts")
-    counts = different.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return []
+    scratch = Scratch(labelled.sparkSession)
+    different = scratch.stored(labelled.select("lang", "order").distinct(), "sample-texts")
+    counts = different.groupBy("lang").agg(F.count("*").alias("n"))
     # Of a language's texts about three times as many as needed go to the ranking.
-    place = F.pmod("order", F.lit(1 << 20))
-    some = F.lit(False)
-    for lang, n in counts:
-        some |= (F.col("lang") == lang) & (place < F.lit(-(-(1 << 20) * 3 * TEXTS // n)))
+    some = F.pmod("order", F.lit(1 << 20)) * F.col("n") < F.lit((1 << 20) * 3 * TEXTS)
+    few = different.join(sized_broadcast(scratch.stored(counts, "sample-counts"), 64), "lang").filter(some)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    wanted = different.filter(some).withColumn("rank", rank).filter(F.col("rank") <= TEXTS)
-    wanted = F.broadcast(wanted.select("lang", "order"))
+    wanted = few.select("lang", "order").withColumn("rank", rank).filter(F.col("rank") <= TEXTS)
+    wanted = sized_broadcast(scratch.stored(wanted.select("lang", "order"), "sample-chosen"), 64)
     chosen = labelled.join(wanted, ["lang", "order"]).groupBy("lang", "order").agg(F.min("text").alias("text"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,6 +226,7 @@ def _sample(labelled: DataFrame, seed: int) -> list[tuple[str, bytes]]:
 
     runs = chosen.select("lang", F.col("text").cast("binary").alias("text"))
     rows = runs.mapInPandas(cut, "lang string, run binary").collect()
+    scratch.drop()
     return sorted((lang, bytes(run)) for lang, run in rows)
 
 
@@ -302,15 +300,33 @@ def identify_languages(
     ).select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
 
 
+def least_score(docs: DataFrame, model: Model, learn: Column, text_col: str, lang_col: str) -> float:
+    """The score below which a text's language counts as undetermined.
+
+    It lies halfway between chance, which depends on the number of languages, and the score that
+    all but ``LEAST_SHARE`` of the labelled texts with letters reach that were not learned from;
+    0 if there are none such.
+    """
+    rows = docs.filter(~learn & col(lang_col).isNotNull() & _letters(col(text_col)))
+    scores = rows.select(predictions(col(text_col), model)["score"].alias("score"))
+    reached = scores.agg(F.percentile_approx("score", LEAST_SHARE, 100_000)).first()[0]
+    chance = 1 / len(model.languages)
+    return 0.0 if reached is None else min(reached, (reached + chance) / 2)
+
+
 def drop_undetermined(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """``docs`` without the rows whose language stays undetermined.
 
-    That are rows without letters and those whose best language scores below ``FLOOR``. If there is nothing to learn from, rows with letters stay.
+    That are rows without letters, null and empty texts among them, and those whose best language
+    scores less than ``least_score``. If there is nothing to learn from, rows with letters stay. An empty
+    table stays empty.
     """
-    model = train(docs, ~held_out(col(id_col)), text_col, lang_col)
+    learn = ~held_out(col(id_col))
+    model = train(docs, learn, text_col, lang_col)
     if not model.languages:
         return docs.filter(_letters(col(text_col)))
+    least = least_score(docs, model, learn, text_col, lang_col)
     found = predictions(col(text_col), model)
-    return docs.filter((found["lang"] != UNDETERMINED) & (found["score"] >= FLOOR))
+    return docs.filter((found["lang"] != UNDETERMINED) & (found["score"] >= least))

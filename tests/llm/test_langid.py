@@ -1,4 +1,5 @@
 import zlib
+from functools import partial
 
 import numpy as np
 import pytest
@@ -98,3 +99,14 @@ def test_a_language_of_few_different_texts_is_learned(spark):
         assert {run for lang, run in found if lang == "few"} == {t.encode() for t, _ in few}
         assert sum(lang == "few" for lang, _ in found) == 10
         assert sum(lang == "many" for lang, _ in found) == langid.TEXTS
+
+
+def test_many_languages(spark, monkeypatch):
+    """Hundreds of languages are learned and told apart; no text of a known one is dropped."""
+    monkeypatch.setattr(langid, "fit", partial(fit, steps=3))
+    rows = [(3 * i + j, f"{i:03d} word {'abc'[j]} " * 5, f"l{i}") for i in range(600) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = identify_languages(docs).collect()
+    assert len(found) == 1800 and {r.lang_pred for r in found} <= {f"l{i}" for i in range(600)}
+    assert all(0 <= r.score <= 1 for r in found)
+    assert drop_undetermined(docs).count() >= 0.98 * 1800

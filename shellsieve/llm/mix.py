@@ -3,7 +3,9 @@
 Documents are aggregated by membership pattern, the set of sources that hold them. Words
 flow from patterns to source quotas; every further copy of a pattern's words costs more than
 the one before, so copies are made only where a quota cannot be met without. The flow is
-solved over patterns and sources, never over documents. Within a pattern all documents get
+solved over patterns and sources, never over documents. A source that shares no document with
+another one has a single way for its words, so its flow is its quota, up to the copies; patterns of
+such sources stay in Spark, however many there are, and the others go to the solver. Within a pattern all documents get
 the whole copies, and those of the lowest seeded hash one copy more, until the words that are
 left are reached; the hash at which that happens is found by counting words digit by digit.
 """
@@ -16,12 +18,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shellsieve.llm.common import col, digest, fresh, join_back, stored
+from shellsieve.llm.common import BROADCAST_BYTES, col, digest, fresh, join_back, sized_broadcast, stored
+from shellsieve.operators.findings import numbered
 from shellsieve.sources.checkpoints import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MAX_COPIES, SEED = (3.0, 1.0, 2.0), 1.5, 2, 42
-#: The flow runs on the driver; beyond so many patterns it is refused.
+#: The flow of sources that share documents runs on the driver; beyond so many of their patterns it is refused.
 MAX_PATTERNS = 10_000
 #: Bits of the hash by which words are counted in a round, and rows that are ordered one by one.
 DIGIT_BITS, ORDERED_ROWS = 12, 100_000
@@ -106,13 +109,9 @@ def min_cost_flow(
             flow[before][through] += amount
 
 
-def _null_last(source) -> tuple[bool, bytes]:
-    return source is None, b"" if source is None else str(source).encode()
-
-
-def _rows(docs: DataFrame, id_col: str, text_col: str, sources: Column) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, sources: Column, scratch: Scratch) -> DataFrame:
     text = col(text_col).cast("string")
-    return stored(
+    return scratch.stored(
         docs.select(
             col(id_col).alias("doc_id"),
             digest(text).alias("digest"),
@@ -125,19 +124,18 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, sources: Column) -> DataF
     )
 
 
-def _thresholds(rows: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
+def _thresholds(rows: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
     """``rows`` with ``extra``: whether the row's pattern takes another copy of it.
 
-    ``goals`` has pattern_no and the words wanted of another copy. In each round one digit of
-    the hash parts what is undecided: digits below the one that reaches the goal are taken,
+    ``goal`` is the number of words wanted of another copy of the row's pattern. In each round one
+    digit of the hash parts what is undecided: digits below the one that reaches the goal are taken,
     those above are not, that one goes to the next round.
     """
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("digest"))
     tie = F.xxhash64(F.lit(seed), F.col("row"))
     columns = ["pattern_no", "goal", "row", "size", "h1", "h2"]
-    open_ = rows.withColumns({"h1": key, "h2": tie})
-    open_ = open_.join(F.broadcast(goals), "pattern_no").select(*columns)
-    done, scratch = [], Scratch(rows.sparkSession)
+    open_ = rows.filter("goal > 0 and size > 0").withColumns({"h1": key, "h2": tie}).select(*columns)
+    done = []
     places = [("h1", s) for s in (52, 40, 28, 16, 4)] + [("h2", s) for s in (52, 40, 28, 16, 4)]
     for name, shift in places:
         digit = F.shiftrightunsigned(name, shift).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
@@ -152,7 +150,7 @@ def _thresholds(rows: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
             ),
             "mix-edges",
         )
-        at = open_.join(F.broadcast(edges), "pattern_no")
+        at = open_.join(sized_broadcast(edges, 64), "pattern_no")
         below = F.col("edge").isNull() | (F.col("digit") < F.col("edge"))
         done.append(at.filter(below).select("row"))
         left = F.col("goal") - F.coalesce("taken", F.lit(0))
@@ -167,13 +165,123 @@ def _thresholds(rows: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
     taken = last.select("row")
     for more in done:
         taken = taken.unionByName(more)
-    taken = stored(taken, "mix-taken")
-    scratch.drop()
+    taken = scratch.stored(taken, "mix-taken")
     return rows.join(taken.withColumn("extra", F.lit(True)), "row", "left").withColumn(
         "extra", F.coalesce("extra", F.lit(False))
     )
 
 
+def _with_targets(sources: DataFrame, weights: Sequence[float], total: float, most: float, scratch: Scratch) -> DataFrame:
+    """``sources`` (source, size, overlaps) with the ``target`` of each, as ``source_targets`` has it.
+
+    Each round is one aggregation: sources above their bound at the present share of a weight are
+    put at it, which raises the share, until none is added. Sums are of whole numbers, so a second
+    run gives the same targets.
+    """
+    order = [F.col("source").isNull(), F.col("source")]
+    sources = numbered(sources, order, "no", costly=False, store=scratch.stored)
+    turn = (F.col("no") - 1) % len(weights)
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (turn + 1).cast("int"))
+    sources = scratch.stored(sources.withColumns({"turn": turn, "weight": weight}), "mix-sources")
+    bound = F.lit(most) * F.col("size")
+    left, every, capped = float(total), None, -1
+    above = F.lit(False)
+    while True:
+        found = sources.groupBy(above.alias("above"), "turn").agg(F.count("*"), F.sum("size")).collect()
+        if sum(n for at, _, n, _ in found if at) == capped:
+            break
+        capped = sum(n for at, _, n, _ in found if at)
+        left = float(total) - most * sum(size for at, _, _, size in found if at)
+        every = sum(n * float(weights[turn]) for at, turn, n, _ in sorted(found) if not at)
+        if not every:
+            above = F.lit(True)
+            break
+        above = F.lit(left) * F.col("weight") / F.lit(every) > bound
+    share = F.lit(left) * F.col("weight") / F.lit(every or 1.0)
+    return sources.withColumn("target", F.when(above, bound.cast("double")).otherwise(share))
+
+
+def _solved(patterns: DataFrame, sources: DataFrame, copies: int) -> DataFrame:
+    """pattern_no and words of the patterns of overlapping sources, by the flow on the driver."""
+    rows = patterns.select("pattern_no", "words", F.posexplode("pattern").alias("at", "source"))
+    rows = rows.join(sources.filter("overlaps"), rows["source"].eqNullSafe(sources["source"]))
+    rows = rows.groupBy("pattern_no", "words").agg(
+        F.sort_array(F.collect_list(F.struct("at", "no", "target"))).alias("members")
+    )
+    found = sorted(rows.limit(MAX_PATTERNS + 1).collect())
+    if len(found) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns of sources that share documents")
+    targets = {m.no: m.target for row in found for m in row.members}
+    index = {no: i for i, no in enumerate(sorted(targets))}
+    # In an order that does not depend on how Spark numbered the patterns.
+    found.sort(key=lambda row: [m.no for m in row.members])
+    flow = min_cost_flow(
+        [row.words for row in found],
+        [[index[m.no] for m in row.members] for row in found],
+        [round(targets[no]) for no in sorted(targets)],
+        copies,
+    )
+    return patterns.sparkSession.createDataFrame(
+        [(row.pattern_no, sum(w for _, w in f)) for row, f in zip(found, flow, strict=True)],
+        "solved_no long, solved long",
+    )
+
+
+def _mix(
+    docs: DataFrame, sources: Column | None, weights: Sequence[float], share: float, max_copies: int, seed: int,
+    id_col: str, text_col: str, scratch: Scratch,
+) -> DataFrame:
+    rows = _rows(docs, id_col, text_col, F.array(col("source")) if sources is None else sources, scratch)
+    patterns = scratch.stored(
+        rows.groupBy("pattern").agg(F.sum("size").alias("words")).withColumn(
+            "pattern_no", F.monotonically_increasing_id()
+        ),
+        "mix-patterns",
+    )
+    every, octets = patterns.agg(
+        F.coalesce(F.sum("words"), F.lit(0)),
+        F.coalesce(F.sum(F.coalesce(F.octet_length(F.to_json("pattern")), F.lit(0)) + 128), F.lit(0)),
+    ).first()
+    exploded = patterns.select("words", F.size("pattern").alias("n"), F.explode("pattern").alias("source"))
+    held = exploded.groupBy("source").agg(F.sum("words").alias("size"), (F.max("n") > 1).alias("overlaps"))
+    held = scratch.stored(
+        _with_targets(scratch.stored(held, "mix-held"), weights, share * every, max_copies, scratch), "mix-targets"
+    )
+    solved = _solved(patterns, held, max_copies)
+    # Nulls are last in a pattern, so its first entry is its first source.
+    first = F.when(F.size("pattern") > 0, F.struct(F.col("pattern")[0].alias("source")))
+    of_first = held.select(
+        F.struct("source").alias("held_source"), F.col("size").alias("source_size"), "target", "overlaps"
+    )
+    target = F.rint(F.coalesce("target", F.lit(0.0))).cast("long")
+    quota = F.least(target, F.col("words") * max_copies)
+    flow = F.coalesce("solved", F.when(F.col("overlaps"), F.lit(0)).otherwise(quota), F.lit(0))
+    some = F.col("words") > 0
+    described = (
+        patterns.withColumn("first_source", first)
+        .join(of_first, F.col("first_source") == F.col("held_source"), "left")
+        .join(F.broadcast(solved), F.col("pattern_no") == F.col("solved_no"), "left")
+        .withColumn("flow", flow)
+        .withColumn("whole", F.when(some, F.expr("flow div words")).otherwise(0).cast("int"))
+        .select(
+            F.col("pattern").alias("of_pattern"), "pattern_no", "source_size", "target", "whole",
+            (F.col("flow") - F.col("whole") * F.col("words")).alias("goal"),
+        )
+    )
+    described = scratch.stored(described, "mix-described")
+    described = F.broadcast(described) if octets <= BROADCAST_BYTES else described
+    rows = scratch.stored(
+        rows.join(described, rows["pattern"].eqNullSafe(described["of_pattern"])).drop("pattern", "of_pattern"),
+        "mix-numbered",
+    )
+    rows = _thresholds(rows, seed, scratch)
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra").cast("int")).otherwise(0)
+    return rows.select(
+        "doc_id", "digest", "row", "size", "source_size", "target",
+        (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"),
+    )
+
+
 def mix(
     docs: DataFrame,
     sources: Column | None = None,
@@ -191,62 +299,35 @@ def mix(
     ``share`` times the words of all documents (a document of two sources counts in the
     quotas' sum once, in the size of both); no target is above ``max_copies`` times its
     source's size. ``source_size`` and ``target`` are those of the document's first source,
-    null if it has none. A null text has no words. ``taken`` is ``copies`` times the size;
-    documents without words are not taken. A second run over the same rows selects the same;
-    rows equal in id and text are alike in that.
+    null if it has none. A null text has no words, whatever the length of others; an empty table gives
+    no rows. ``taken`` is ``copies`` times the size; documents without words are not taken. A
+    second run over the same rows selects the same; rows equal in id and text are alike in that.
+
+    Any number of sources may stand alone; those that share documents may have ``MAX_PATTERNS``
+    membership patterns between them, beyond which there is an error.
     """
-    spark = docs.sparkSession
-    rows = _rows(docs, id_col, text_col, F.array(col("source")) if sources is None else sources)
-    found = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    patterns = [(tuple(sorted(p or (), key=_null_last)), n, p) for p, n in found]
-    patterns.sort(key=lambda x: [_null_last(s) for s in x[0]])
-    names = sorted({s for p, _, _ in patterns for s in p}, key=_null_last)
-    number = {s: i for i, s in enumerate(names)}
-    members = [[number[s] for s in p] for p, _, _ in patterns]
-    sizes = [sum(n for m, (_, n, _) in zip(members, patterns, strict=True) if i in m) for i in range(len(names))]
-    every = sum(n for _, n, _ in patterns)
-    targets = source_targets(
-        sizes, [weights[i % len(weights)] for i in range(len(names))], share * every, max_copies
-    )
-    flow = min_cost_flow([n for _, n, _ in patterns], members, [round(t) for t in targets], max_copies)
-    table = []
-    for no, ((_, n, _), m, f) in enumerate(zip(patterns, members, flow, strict=True)):
-        words = sum(w for _, w in f)
-        whole = words // n if n else 0
-        table.append((no, sizes[m[0]] if m else None, targets[m[0]] if m else None, whole, words - whole * n))
-    described = spark.createDataFrame(
-        table or [(0, 0, 0.0, 0, 0)],
-        "pattern_no int, source_size long, target double, whole int, goal long",
-    )
-    by_pattern = spark.createDataFrame(
-        [(no, raw) for no, (_, _, raw) in enumerate(patterns)],
-        f"pattern_no int, pattern {rows.schema['pattern'].dataType.simpleString()}",
-    )
-    rows = rows.join(F.broadcast(by_pattern), rows["pattern"].eqNullSafe(by_pattern["pattern"])).drop("pattern")
-    rows = stored(rows, "mix-numbered")
-    goals = described.filter("goal > 0").select("pattern_no", "goal")
-    rows = _thresholds(rows.filter("size > 0"), goals, seed).unionByName(
-        rows.filter("size = 0").withColumn("extra", F.lit(False))
-    )
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra").cast("int")).otherwise(0)
-    return rows.join(F.broadcast(described), "pattern_no").select(
-        "doc_id", "digest", "row", "size", "source_size", "target",
-        (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"),
+    scratch = Scratch(docs.sparkSession)
+    out = stored(
+        _mix(docs, sources, weights, share, max_copies, seed, id_col, text_col, scratch), "mix-copies"
     )
+    scratch.drop()
+    return out
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` as the mix takes them: every row as often as its copies.
 
-    Of rows of equal id and text one stands for all, as often as all of them together.
+    Of rows of equal id and text one stands for all, as often as all of them together. An empty
+    table stays empty.
     """
-    counts = mix(docs, id_col=id_col, text_col=text_col, **how)
+    scratch = Scratch(docs.sparkSession)
+    how = {"sources": None, "weights": WEIGHTS, "share": SHARE, "max_copies": MAX_COPIES, "seed": SEED} | how
+    counts = _mix(docs, id_col=id_col, text_col=text_col, scratch=scratch, **how)
     counts = counts.groupBy("doc_id", "digest").agg(
         F.sum("copies").alias("copies"), F.count("*").alias("rows")
     )
     counts = stored(counts.filter("copies > 0"), "copies")
+    scratch.drop()
     (copies,) = fresh(docs, "copies")
     again = not counts.filter("rows > 1").isEmpty()
     counts = counts.drop("rows").withColumnRenamed("copies", copies)

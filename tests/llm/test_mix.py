@@ -117,3 +117,42 @@ def test_mixed_has_as_many_rows_as_copies(spark):
     for r in mixed(df).collect():
         found[r.doc_id] = found.get(r.doc_id, 0) + 1
     assert found == {i: n for i, n in copies.items() if n}
+
+
+def test_many_sources(spark):
+    """More sources than patterns the flow takes; every one near its target."""
+    n = 50_000
+    df = spark.range(2 * n).select(
+        F.col("id").alias("doc_id"),
+        F.repeat(F.lit("w "), (F.col("id") % 7 + F.when(F.col("id") % n == 0, 5000).otherwise(0)).cast("int")).alias("text"),
+        F.format_string("s%06d", F.col("id") % n).alias("source"),
+    )
+    rows = mix(df).collect()
+    assert len(rows) == 2 * n
+    of, sizes = {}, [0] * n
+    for r in rows:
+        of.setdefault(r.doc_id % n, []).append(r)
+        sizes[r.doc_id % n] += r.size
+    targets = source_targets(sizes, [(3, 1, 2)[i % 3] for i in range(n)], 1.5 * sum(sizes), 2)
+    for source, some in of.items():
+        assert all(r.target == pytest.approx(targets[source]) and r.taken <= 2 * r.size for r in some)
+        assert abs(sum(r.taken for r in some) - targets[source]) <= max(r.size for r in some) / 2 + 1
+
+
+def test_a_long_text_and_overlapping_sources_beside_others(spark):
+    rows = [(0, "w " * 200_000, ["z"])] + [(i, "w " * 9, ["a", "b"] if i % 2 else ["c"]) for i in range(1, 200)]
+    rows += [(500, "w w", None), (501, "w", [])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    found = mix(df, F.col("sources"), weights=(1,), share=1.0).collect()
+    by = {r.doc_id: r for r in found}
+    assert by[500].taken == by[501].taken == 0 and by[500].target is None
+    # Small sources take twice their words; the long text has what they leave.
+    assert all(by[i].copies == 2 for i in range(1, 200)) and by[0].copies == 1
+
+
+def test_too_many_overlapping_patterns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 3)
+    rows = [(i, "w", [f"s{i}", "all"]) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    with pytest.raises(ValueError, match="membership patterns"):
+        mix(df, F.col("sources"))

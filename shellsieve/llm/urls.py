@@ -1,7 +1,8 @@
 """URL rules: a blocked Bloom filter in front of an exact join.
 
-A rule is a host and the start of a path. A URL is looked up under its host and every domain
-above it, with the starts of its path at the lengths that rules have. The filter is a table of
+A rule is a host and the start of a path. A URL is looked up under the ends of its host that have as
+many labels as rules have, with the starts of its path at the lengths that rules have, so a long
+host or path costs no more than a few passes over it. The filter is a table of
 blocks of 256 bits, one block to a key, eight bits set in it, so a key costs one look at one
 block; it is broadcast with the block number as key while its size, which its row count
 gives, is below a bound. What the filter lets pass goes to the exact join with the rules.
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shellsieve.llm.common import LOWER, UPPER, col, sized_broadcast, stored
+from shellsieve.sources.checkpoints import Scratch
 
 #: Words of a block, and bits of the filter for each rule.
 BLOCK_WORDS, BITS_PER_RULE = 4, 24
@@ -71,9 +73,11 @@ def url_verdicts(
     together wins, then the longer host, then the first by text. Hosts of rules are lowered as
     those of URLs are; rules with a null are left out, of equal rules the first verdict by text
     counts. ``rule`` is null and the verdict ``default`` where no rule fits. A null URL has an
-    empty host and path and fits no rule.
+    empty host and path and fits no rule; so does one without ``://``. Repeated rows give a row each,
+    an empty table of pages gives none, and without rules every verdict is ``default``.
     """
-    rules = stored(
+    scratch = Scratch(pages.sparkSession)
+    rules = scratch.stored(
         rules.select(
             F.translate(col("host"), UPPER, LOWER).alias("rule_host"),
             col("path").alias("rule_path"),
@@ -86,9 +90,12 @@ def url_verdicts(
     )
     host, path = host_and_path(col(url_col))
     pages = pages.select(col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    # Few numbers: the different lengths and numbers of labels.
     lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())
-    best = _best_rules(pages.select("host", "path").distinct(), rules, lengths)
+    labels = sorted(r[0] for r in rules.select(_labels(F.col("rule_host"))).distinct().collect())
+    best = _best_rules(pages.select("host", "path"), rules, lengths, labels)
     best = stored(best, "verdicts").withColumnsRenamed({"host": "of_host", "path": "of_path"})
+    scratch.drop()
     on = (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path"))
     # Never broadcast: it has a row per URL, however well its files are packed.
     return pages.join(best.hint("merge"), on, "left").select(
@@ -96,18 +103,24 @@ def url_verdicts(
     )
 
 
-def _best_rules(urls: DataFrame, rules: DataFrame, lengths: list[int]) -> DataFrame:
-    """host, path, rule and verdict of the distinct URLs that a rule fits."""
-    labels = F.split("host", r"\.")
-    hosts = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def _best_rules(urls: DataFrame, rules: DataFrame, lengths: list[int], labels: list[int]) -> DataFrame:
+    """host, path, rule and verdict of the different URLs that a rule fits.
+
+    Rows are looked up where they are read, and equal ones meet in the grouping at the end.
+    """
+    urls = urls.filter("host != ''").withColumn("labels", _labels(F.col("host")))
+    hosts = F.array(
+        *(F.when(F.col("labels") >= n, F.substring_index("host", ".", -n)) for n in labels)
+    ).cast("array<string>")
     starts = F.array(
         *(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)
     ).cast("array<string>")
-    urls = urls.filter("host != ''")
     keys = urls.select("host", "path", F.explode(hosts).alias("rule_host"), starts.alias("starts"))
+    keys = keys.filter(F.col("rule_host").isNotNull())
     keys = keys.select("host", "path", "rule_host", F.explode("starts").alias("rule_path"))
     keys = keys.filter(F.col("rule_path").isNotNull())
 

@@ -58,3 +58,13 @@ def test_many_rules(spark, monkeypatch):
 def test_no_python_in_the_plan(spark):
     df = url_verdicts(spark.createDataFrame([(1, "http://a/")], "page_id long, url string"), spark.sql("SELECT 'a' host, '/' path, 'block' verdict"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_hosts_and_paths(spark):
+    """A million characters of labels or of path take a moment."""
+    long = [f"http://{'a.' * 500_000}example.com/en/x", f"http://net/es/{'y/' * 500_000}", f"x://{'.' * 500_000}com/"]
+    pages = [(i, u) for i, u in enumerate(long * 3)]
+    table = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    found = url_verdicts(spark.createDataFrame(pages, "page_id long, url string"), table).collect()
+    rules = {0: ("example.com/en/", "block"), 1: ("net/es/", "block"), 2: ("com/", "allow")}
+    assert {(r.page_id, r.rule, r.verdict) for r in found} == {(i, *rules[i % 3]) for i, _ in pages}

@@ -10,8 +10,8 @@ Documents are packed in blocks, which are stored. Four steps follow.
    block is asked for a key at most once, however many blocks have it.
 3. The blocks that are asked send the words themselves, neighbouring windows as one passage, with
    the document they stand in.
-4. Each block compiles the windows of the passages it got into Aho-Corasick automata over word
-   numbers, a bounded number of windows in each, and streams all its documents through them.
+4. Each block compiles the windows of the passages it got into Aho-Corasick automata over digits of
+   word numbers, a bounded number of windows in each, and streams all its documents through them.
    Every place where a window of a smaller document is found loses its words.
 
 What is removed is decided by words: a window goes only if the very same words were sent from a
@@ -21,6 +21,7 @@ hide each other's copies; among n different windows two do with a chance of n *
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import partial
 
@@ -43,7 +44,7 @@ BLOCK_BYTES = 4 << 20
 #: Keys that are sorted together.
 PART_KEYS = 2 << 20
 #: Windows in one automaton.
-AUTOMATON_WINDOWS = 1 << 16
+AUTOMATON_WINDOWS = 1 << 15
 
 _hash = partial(xxhash.xxh64_intdigest, seed=13)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -269,29 +270,44 @@ def _passages(blocks: pa.Table, sends: pa.Table) -> pa.Table:
     )
 
 
-def _windows(block: Block, passages: pa.Table) -> dict[tuple[int, ...], int]:
-    """The windows of passages as numbers of the block's words, with their smallest document."""
-    out: dict[tuple[int, ...], int] = {}
-    for first, words in zip(passages["first"].to_pylist(), passages["words"].to_pylist(), strict=True):
-        codes = [block.numbers.get(w, -1) for w in words.split()]
-        since = 0  # words known to the block without a gap
-        for end, code in enumerate(codes, 1):
-            since = since + 1 if code >= 0 else 0
-            if since >= WINDOW:
-                window = tuple(codes[end - WINDOW: end])
-                out[window] = min(first, out.get(window, first))
-    return out
+def _spelled(codes: np.ndarray, digits: int) -> str:
+    """Numbers of words as characters, ``digits`` for each; a negative number is unlike all others.
 
-
-def _automata(windows: dict[tuple[int, ...], int]) -> Iterator[ahocorasick.Automaton]:
+    Each digit has characters of its own, so phrases match at the start of words only. An automaton
+    goes through the children of a node one by one, so few of them a node matter.
+    """
+    places = np.arange(digits)
+    out = (codes[:, None] >> (6 * places)) % 64 + 64 * places + 0x100
+    out[codes < 0] = 0x20
+    return out.astype("<u4").tobytes().decode("utf-32-le")
+
+
+def _windows(passages: pa.Table) -> tuple[dict[bytes, int], int, dict[str, int]]:
+    """Numbers of the passages' words, digits of a number, and the windows with their smallest document."""
+    numbers: dict[bytes, int] = {}
+    number = numbers.setdefault
+    parted = [
+        np.array([number(w, len(numbers)) for w in words.split()], np.int64)
+        for words in passages["words"].to_pylist()
+    ]
+    digits = max(1, -(-len(numbers).bit_length() // 6))
+    size = WINDOW * digits
+    out: dict[str, int] = {}
+    for first, codes in zip(passages["first"].to_pylist(), parted, strict=True):
+        text = _spelled(codes, digits)
+        for at in range(0, len(text) - size + 1, digits):
+            window = text[at: at + size]
+            out[window] = min(first, out.get(window, first))
+    return numbers, digits, out
+
+
+def _automata(windows: dict[str, int]) -> Iterator[ahocorasick.Automaton]:
     """Automata that find the windows, a bounded number of windows in each."""
     items = iter(windows.items())
-    left = len(windows)
-    while left > 0:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for _, (window, first) in zip(range(min(left, AUTOMATON_WINDOWS)), items, strict=False):
+    for _ in range(0, len(windows), AUTOMATON_WINDOWS):
+        automaton = ahocorasick.Automaton()
+        for window, first in itertools.islice(items, AUTOMATON_WINDOWS):
             automaton.add_word(window, first)
-        left -= AUTOMATON_WINDOWS
         automaton.make_automaton()
         yield automaton
 
@@ -307,18 +323,27 @@ def _kept(blocks: pa.Table, passages: pa.Table) -> pa.Table:
         return _KEPT.empty_table()
     block = Block(blocks["blob"][0].as_py())
     hit = np.zeros(len(block.words) + 1, np.int64)
-    bounds = list(zip(block.starts.tolist(), block.ends.tolist(), block.ids.tolist(), strict=True))
-    for automaton in _automata(_windows(block, passages)):
-        for start, end, doc_id in bounds:
-            if end - start < WINDOW:
-                continue
-            for last, first in automaton.iter(tuple(block.codes[start:end].tolist())):
-                if first < doc_id:
-                    hit[start + last - WINDOW + 1] += 1
-                    hit[start + last + 1] -= 1
+    bounds = list(zip(block.starts.tolist(), block.ends.tolist(), strict=True))
+    if passages.num_rows:
+        numbers, digits, windows = _windows(passages)
+        spelling = np.array([numbers.get(w, -1) for w in block.numbers], np.int64)
+        # A gap after each document, which no phrase crosses.
+        text = _spelled(np.insert(spelling[block.codes], block.ends, -1), digits)
+        gaps = np.arange(len(block.ends))
+        lasts, firsts = [], []
+        for automaton in _automata(windows):
+            for last, first in automaton.iter(text):
+                lasts.append(last)
+                firsts.append(first)
+        last = (np.array(lasts, np.int64) + 1) // digits - 1
+        owner = np.searchsorted(block.ends + gaps, last, "right")
+        later = np.array(firsts, np.int64) < block.ids[owner]
+        last = (last - owner)[later]
+        np.add.at(hit, last - WINDOW + 1, 1)
+        np.add.at(hit, last + 1, -1)
     kept = np.cumsum(hit[:-1]) == 0
     texts, removed = [], []
-    for start, end, _ in bounds:
+    for start, end in bounds:
         mask = kept[start:end]
         n = end - start - int(mask.sum())
         removed.append(n)

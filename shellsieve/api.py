@@ -10,7 +10,7 @@ from shellsieve.operators.findings import counts_by_level, totals
 from shellsieve.operators.scan import scan
 from shellsieve.plans.report import report, write_report
 from shellsieve.sources.checkpoints import Scratch
-from shellsieve.sources.files import read_scripts
+from shellsieve.sources.files import read_scripts, unreadable_scripts
 from shellsieve.sources.rules import configured_rules
 
 
@@ -23,6 +23,10 @@ class Analysis:
     def totals(self):
         return totals(self.scripts, counts_by_level(self.findings))
 
+    def unreadable(self):
+        """Paths of the scripts that count but could not be read."""
+        return unreadable_scripts(self.scripts)
+
     def report(self, form="text", **options):
         return report(form, self.scripts, self.findings, self.started, **options)
 

@@ -201,7 +201,8 @@ def prepared(texts, rules, text_col, keep):
     texts are folded to lower case only where a caseless rule still can match.
     """
     shared = _shared_literals(rules)
-    base = texts.select(*keep, F.col(text_col).alias(TEXT)).select(
+    # A text that could not be read has no findings, and how it was found need not be worked out.
+    base = texts.where(F.col(text_col).isNotNull()).select(*keep, F.col(text_col).alias(TEXT)).select(
         "*", *[F.contains(TEXT, F.lit(literal)).alias(name) for literal, name in shared.items()]
     )
     caseless = [_raw_condition(rule, shared) for rule in rules if rule.caseless]

@@ -408,6 +408,9 @@ FROM findings WHERE rule_id NOT IN ({ignored}) GROUP BY rule_id""")
         """SELECT regexp_extract(file_path, '[0-9]+')::BIGINT AS script_id, rule_id,
   line, "column", code_snippet FROM findings""",
     )
+    sql["scan_lost_files"] = _with(_ALL, """SELECT script_id, script_id % 10 <> 3 AS readable,
+  CASE WHEN script_id % 10 <> 3 THEN coalesce(n, 0) ELSE 0 END::BIGINT AS findings
+FROM scripts LEFT JOIN (SELECT file_path AS path, count(*) AS n FROM findings GROUP BY 1) USING (path)""")
     events = f"{EVENT_SCRIPTS}, {_regex_hits(PATTERNS)}, {COMMANDS}, {_rules()}, {FINDINGS}"
     sql["stream_scan"] = _with(events, f"SELECT {_NO_TEXTS} FROM findings")
     sql["stream_level_windows"] = _with(events, """SELECT date_trunc('hour', ts) AS window_start,

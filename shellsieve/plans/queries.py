@@ -361,6 +361,29 @@ def file_source_scan(spark, sf_dir):
     )
 
 
+def scan_lost_files(spark, sf_dir):
+    """The sample scripts as files, of which each with a number ending in 3 is lost after the listing."""
+    folder = shared_folder(spark, "scripts")
+    files = sample_scripts(spark, sf_dir).select(
+        "script_id", F.concat(F.lit("#!/bin/bash\n"), "content").alias("value")
+    )
+    files.write.partitionBy("script_id").text(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    lost = [status.getPath() for status in system.globStatus(path(f"{folder}/script_id=*3/part-*"))]
+    named = [path(file.getParent(), "job.sh") for file in lost]
+    for file, script in zip(lost, named, strict=True):
+        system.rename(file, script)
+    scripts = read_scripts(spark, folder, recursive=True)
+    for script in named:
+        system.delete(script, False)
+    found = scan(scripts).groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("findings"))
+    return scripts.join(found, "path", "left").select(
+        F.regexp_extract("path", "script_id=([0-9]+)/", 1).cast("long").alias("script_id"),
+        "readable", F.coalesce("findings", F.lit(0)).cast("long").alias("findings"),
+    )
+
+
 def file_source_direct(spark, sf_dir):
     """The sample scripts as files of one folder, next to a folder that is not looked into."""
     folder = shared_folder(spark, "scripts")
@@ -445,7 +468,7 @@ def all_queries():
         html_escape_pages, strip_quotes_values, custom_rule_tokens, tokens_by_lang_source,
         text_tables_counts, report_text, report_html, report_json, report_json_roundtrip,
         counts_by_level, counts_by_level_per_script, finding_type_levels,
-        file_source_scan, file_source_direct, findings_partitioned, custom_rules_from_file,
+        file_source_scan, scan_lost_files, file_source_direct, findings_partitioned, custom_rules_from_file,
         stream_scan, stream_level_windows, trace_log_events, trace_log_summary,
     ):
         found[query.__name__] = query

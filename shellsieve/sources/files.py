@@ -5,15 +5,20 @@ from pyspark.sql import functions as F
 
 from shellsieve.functions.text import extension_of
 from shellsieve.schemas import SCRIPTS
+from shellsieve.sources.checkpoints import stored
 
 # What marks a file as a script.
 SCRIPT_EXTENSIONS = ("sh", "bash")
 SCRIPT_FIRST_LINES = ("#!/bin/bash", "#!/bin/sh")
 
 
+def _is_named_script(path):
+    return extension_of(path).isin(*SCRIPT_EXTENSIONS)
+
+
 def is_script(path, content):
     """Extension ``sh`` or ``bash``, else a first line naming /bin/bash or /bin/sh."""
-    by_name = extension_of(path).isin(*SCRIPT_EXTENSIONS)
+    by_name = _is_named_script(path)
     by_line = F.startswith(content, F.lit(SCRIPT_FIRST_LINES[0])) | F.startswith(
         content, F.lit(SCRIPT_FIRST_LINES[1])
     )
@@ -38,9 +43,11 @@ def with_readable(files, path_col="path", bytes_col="content"):
 def read_scripts(spark, path, recursive=False):
     """Scripts of a file, of a directory or, with ``recursive``, of a tree.
 
-    A path that does not exist gives an empty table, a file that vanishes meanwhile is left
-    out, and one that cannot be read is an error, since a scan without it would look clean.
-    Names starting with '.' or '_' and empty files are not listed by Spark's file sources.
+    A path that does not exist gives an empty table. The files are listed when this is called, and
+    read when the table is used. A file that is a script by its name and cannot be read
+    by then, or is gone, stays as a row with ``content`` NULL and ``readable`` false: it counts, can
+    be listed by name, and ends no scan. One that only its first line would make a script is left
+    out. Names starting with '.' or '_' and empty files are not listed by Spark's file sources.
     """
     path = _qualified(spark, path)
     try:
@@ -54,11 +61,29 @@ def read_scripts(spark, path, recursive=False):
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], SCRIPTS)
-    if not recursive and not any(char in path for char in "*?[{"):
+
+    def wanted(files):
+        if recursive or any(char in path for char in "*?[{"):
+            return files
         # Only direct children count, even where folders were read as partitions.
         parent = F.regexp_replace("path", "/[^/]*\\z", "")
-        files = files.where((parent == path.rstrip("/")) | (F.col("path") == path))
-    return with_readable(files.select("path", "content"))
+        return files.where((parent == path.rstrip("/")) | (F.col("path") == path))
+
+    # Names and sizes only; this reads no content, so no content can make it fail.
+    named = wanted(files.select("path")).where(_is_named_script(F.col("path")))
+    named = stored(named, "listing")
+    read = wanted(files.select("path", "content"))
+    # The second reading keeps paths alone. A scan drops rows without content, and this side with
+    # them, so it reads every file once.
+    lost = named.join(read.where(F.col("content").isNotNull()).select("path"), "path", "left_anti")
+    return with_readable(read).unionByName(
+        lost.select("path", F.lit(None).cast("string").alias("content"), F.lit(False).alias("readable"))
+    )
+
+
+def unreadable_scripts(scripts):
+    """Paths of scripts that could not be read or hold bytes that are no text."""
+    return scripts.where(~F.col("readable")).select("path")
 
 
 def _qualified(spark, path):
@@ -73,7 +98,7 @@ def _files(spark, path, recursive):
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
         .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "false")
+        .option("ignoreCorruptFiles", "true")
         .load(path)
     )
 

@@ -62,12 +62,42 @@ def test_spellings_of_a_path(spark, tree, monkeypatch):
     assert names(read_scripts(spark, f"{tree}/sub")) == ["sub/g.sh"]
 
 
-def test_an_unreadable_file_is_an_error(spark, tmp_path):
+BAD_CHECKSUM = b"crc\x00\x00\x00\x02\x00\x00\x00\x00\x00"
+
+
+def test_files_that_cannot_be_read_end_no_scan(spark, tmp_path):
+    """One file fails when it is read, one is gone by then; the others give all their findings."""
+    (tmp_path / "sub").mkdir()
+    texts = {f"{name}.sh": f"rm {name}\nsudo id" for name in ("a", "gone", "bad", "sub/b", "sub/gone")}
+    texts |= {"plain": "#!/bin/sh\nrm x", "badplain": "#!/bin/sh\nrm x", "latin.bash": "rm x"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "latin.bash").write_bytes(b"rm x\xff")
+    analysis = analyze(spark, str(tmp_path), recursive=True)
+    for name in ("gone.sh", "sub/gone.sh"):
+        (tmp_path / name).unlink()
+    for name in ("bad.sh", "badplain"):
+        (tmp_path / f".{name}.crc").write_bytes(BAD_CHECKSUM)
+    name = lambda path: path.split(f"{tmp_path}/")[1]
+    found = sorted((name(r.file_path), r.line, r.rule_id) for r in analysis.findings.collect())
+    assert found == [
+        ("a.sh", 1, "CMD_RM"), ("a.sh", 2, "CMD_SUDO"), ("plain", 2, "CMD_RM"),
+        ("sub/b.sh", 1, "CMD_RM"), ("sub/b.sh", 2, "CMD_SUDO"),
+    ]
+    # What only its first line would make a script is none if that cannot be read.
+    assert sorted(name(r.path) for r in analysis.unreadable().collect()) == [
+        "bad.sh", "gone.sh", "latin.bash", "sub/gone.sh",
+    ]
+    totals = analysis.totals().first()
+    assert (totals.total_scripts, totals.total_findings) == (7, 5)
+    assert '"total_scripts": 7' in "\n".join(r[0] for r in analysis.report("json").select("report_line").collect())
+
+
+def test_a_scan_reads_every_file_once(spark, tmp_path):
     (tmp_path / "a.sh").write_text("rm x")
-    scripts = read_scripts(spark, str(tmp_path))
-    (tmp_path / ".a.sh.crc").write_bytes(b"crc\x00\x00\x00\x02\x00\x00\x00\x00\x00")
-    with pytest.raises(Exception, match="Checksum|FAILED_READ_FILE"):
-        scripts.collect()
+    analysis = analyze(spark, str(tmp_path))
+    plan = analysis.findings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan binaryFile") == 1 and "Join LeftAnti" not in plan
 
 
 def test_two_custom_rules_at_one_place_keep_their_order(spark):

@@ -23,13 +23,11 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from functools import partial
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,10 +42,9 @@ BLOCK_BYTES = 4 << 20
 #: Keys that are sorted together.
 PART_KEYS = 2 << 20
 #: Windows in one automaton.
-AUTOMATON_WINDOWS = 1 << 15
+AUTOMATON_WINDOWS = 1 << 17
 
-_hash = partial(xxhash.xxh64_intdigest, seed=13)
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_FACTOR = np.uint64(0xBF58476D1CE4E5B9)
 #: What a null id counts as: no document is larger.
 NO_ID = (1 << 63) - 1
 
@@ -71,6 +68,26 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data), dtype=np.uint64)
 
 
+#: ASCII white space, a random number for each byte, and an odd factor with its inverse.
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = np.random.default_rng(13).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BYTES[_SPACE] = 0
+_STEP = 0x9E3779B97F4A7C15
+_STEP_BACK = pow(_STEP, -1, 1 << 64)
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    """1, factor, factor ** 2, ... modulo 2 ** 64."""
+    out = np.ones(max(n, 1), np.uint64)
+    size, power = 1, factor
+    while size < n:
+        more = min(size, n - size)
+        out[size: size + more] = out[:more] * np.uint64(power)
+        size, power = size + more, power * power % (1 << 64)
+    return out[:n]
+
+
 class Block:
     """Documents one after the other, in the order of their ids."""
 
@@ -81,34 +98,43 @@ class Block:
         order = sorted(range(len(ids)), key=lambda i: NO_ID if ids[i] is None else ids[i])
         self.given_ids = [ids[i] for i in order]
         self.ids = np.array([NO_ID if ids[i] is None else ids[i] for i in order], np.int64)
-        self.words: list[bytes] = []
-        ends = []
-        for i in order:
-            self.words += texts[i].split()
-            ends.append(len(self.words))
-        self.ends = np.array(ends, np.int64)
-        self.starts = np.concatenate([[0], self.ends[:-1]])
-        self.numbers: dict[bytes, int] = {}
-        number = self.numbers.setdefault
-        self.codes = np.array([number(w, len(self.numbers)) for w in self.words], np.int64)
+        self.texts = [texts[i] for i in order]
+        self.bytes = b"\n".join([*self.texts, b""])
+        self.raw = np.frombuffer(self.bytes, np.uint8)
+        space = _SPACE[self.raw]
+        before = np.concatenate([[True], space[:-1]])[: len(space)]
+        # Where words begin and end, and the numbers of the words at which documents begin and end.
+        self.word_starts = np.flatnonzero(before & ~space)
+        self.word_ends = np.flatnonzero(~before & space)
+        closes = np.cumsum([len(text) + 1 for text in self.texts], dtype=np.int64)
+        self.ends = np.searchsorted(self.word_starts, closes)
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+
+    def hashes(self) -> np.ndarray:
+        """Hashes of the words: sums over bytes of random numbers times powers of the place."""
+        if not len(self.word_starts):
+            return np.zeros(0, np.uint64)
+        n = len(self.raw)
+        sums = np.add.reduceat(_BYTES[self.raw] * _powers(_STEP, n), self.word_starts)
+        value = sums * _powers(_STEP_BACK, n)[self.word_starts]
+        value ^= value >> np.uint64(32)
+        return value * np.uint64(0xD6E8FEB86659FD93)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Places where a window starts, in order, and the windows' keys."""
         sizes = np.maximum(self.ends - self.starts - WINDOW + 1, 0)
         if not sizes.sum():
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        hashes = np.fromiter(map(_hash, self.numbers), np.uint64, len(self.numbers))[self.codes]
+        hashes = self.hashes()
         n = len(hashes) - WINDOW + 1
         value = np.zeros(n, np.uint64)
         for i in range(WINDOW):
-            value = value * _FACTOR + hashes[i: i + n]
+            value *= _FACTOR
+            value += hashes[i: i + n]
         value ^= value >> np.uint64(32)
         value *= np.uint64(0xD6E8FEB86659FD93)
         value ^= value >> np.uint64(32)
-        inside = np.ones(n, bool)
-        for end in self.ends[:-1]:
-            inside[max(end - WINDOW + 1, 0): end] = False
-        places = np.flatnonzero(inside)
+        places = np.repeat(self.starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         return places, value[places]
 
     def owner(self, places: np.ndarray) -> np.ndarray:
@@ -262,7 +288,10 @@ def _passages(blocks: pa.Table, sends: pa.Table) -> pa.Table:
             pa.array(to[starts], pa.int64()),
             pa.array(block.ids[owner[starts]], pa.int64()),
             pa.array(
-                [b" ".join(block.words[place[a]: place[b] + WINDOW]) for a, b in zip(starts, ends, strict=True)],
+                [
+                    block.bytes[block.word_starts[place[a]]: block.word_ends[place[b] + WINDOW - 1]]
+                    for a, b in zip(starts, ends, strict=True)
+                ],
                 pa.binary(),
             ),
         ],
@@ -277,7 +306,7 @@ def _spelled(codes: np.ndarray, digits: int) -> str:
     goes through the children of a node one by one, so few of them a node matter.
     """
     places = np.arange(digits)
-    out = (codes[:, None] >> (6 * places)) % 64 + 64 * places + 0x100
+    out = (codes[:, None] >> (8 * places)) % 256 + 256 * places + 0x100
     out[codes < 0] = 0x20
     return out.astype("<u4").tobytes().decode("utf-32-le")
 
@@ -290,7 +319,7 @@ def _windows(passages: pa.Table) -> tuple[dict[bytes, int], int, dict[str, int]]
         np.array([number(w, len(numbers)) for w in words.split()], np.int64)
         for words in passages["words"].to_pylist()
     ]
-    digits = max(1, -(-len(numbers).bit_length() // 6))
+    digits = max(1, -(-len(numbers).bit_length() // 8))
     size = WINDOW * digits
     out: dict[str, int] = {}
     for first, codes in zip(passages["first"].to_pylist(), parted, strict=True):
@@ -322,33 +351,33 @@ def _kept(blocks: pa.Table, passages: pa.Table) -> pa.Table:
     if not blocks.num_rows:
         return _KEPT.empty_table()
     block = Block(blocks["blob"][0].as_py())
-    hit = np.zeros(len(block.words) + 1, np.int64)
-    bounds = list(zip(block.starts.tolist(), block.ends.tolist(), strict=True))
+    parted = [text.split() for text in block.texts]
+    removed, gone = np.zeros(len(parted), np.int64), None
     if passages.num_rows:
         numbers, digits, windows = _windows(passages)
-        spelling = np.array([numbers.get(w, -1) for w in block.numbers], np.int64)
+        number = numbers.get
+        codes = np.array([number(word, -1) for words in parted for word in words], np.int64)
         # A gap after each document, which no phrase crosses.
-        text = _spelled(np.insert(spelling[block.codes], block.ends, -1), digits)
-        gaps = np.arange(len(block.ends))
+        text = _spelled(np.insert(codes, block.ends, -1), digits)
         lasts, firsts = [], []
         for automaton in _automata(windows):
             for last, first in automaton.iter(text):
                 lasts.append(last)
                 firsts.append(first)
         last = (np.array(lasts, np.int64) + 1) // digits - 1
-        owner = np.searchsorted(block.ends + gaps, last, "right")
+        owner = np.searchsorted(block.ends + np.arange(len(block.ends)), last, "right")
         later = np.array(firsts, np.int64) < block.ids[owner]
         last = (last - owner)[later]
+        hit = np.zeros(len(codes) + 1, np.int64)
         np.add.at(hit, last - WINDOW + 1, 1)
         np.add.at(hit, last + 1, -1)
-    kept = np.cumsum(hit[:-1]) == 0
-    texts, removed = [], []
-    for start, end in bounds:
-        mask = kept[start:end]
-        n = end - start - int(mask.sum())
-        removed.append(n)
-        words = block.words[start:end]
-        texts.append(b" ".join(words if not n else [w for w, k in zip(words, mask.tolist(), strict=True) if k]))
+        gone = np.cumsum(hit[:-1]) > 0
+        before = np.concatenate([[0], np.cumsum(gone)])
+        removed = before[block.ends] - before[block.starts]
+    texts = []
+    for words, start, end, n in zip(parted, block.starts, block.ends, removed.tolist(), strict=True):
+        kept = words if not n else [w for w, out in zip(words, gone[start:end].tolist(), strict=True) if not out]
+        texts.append(b" ".join(kept))
     return pa.Table.from_arrays(
         [
             pa.array(block.given_ids, pa.int64()),

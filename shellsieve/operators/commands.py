@@ -12,6 +12,7 @@ import re
 from pyspark.sql import functions as F
 
 from shellsieve.functions.positions import MARK, let, match_starts, pieces_of, without_marks
+from shellsieve.operators.nesting import may_nest, nested_commands
 
 # After a command name; around a here-document taken as it is; around a region in which
 # only substitutions are code; around a substitution in such a region. Control characters
@@ -154,18 +155,29 @@ def _with_substitutions(text):
     return F.when(F.contains(text, F.lit(_REGION)), marked).otherwise(text)
 
 
-def marked_commands(text, names):
-    """``text`` with a marker before every command in ``names``."""
-    pattern = _commands_pattern(names)
+def marked_commands(text_col, names):
+    """The text in ``text_col`` with a marker before every command in ``names``.
+
+    Texts that nest go through the automaton; the patterns take the others, and those that end
+    within a quote, in which a quote that is not closed counts as any character.
+    """
+    text, pattern = F.col(quoted(text_col)), _commands_pattern(names)
 
     def marked(prepared):
         commands = _marked(prepared, pattern, _COMMANDS_MARKED, (MARK, _NAME_END))
         return F.regexp_replace(commands, _ANY_MARK, "")
 
     clean = without_marks(F.regexp_replace(text, _ANY_MARK, _INSTEAD_OF_MARK))
-    return let(
+    by_pattern = let(
         clean, lambda t: let(_with_regions(t), lambda r: marked(let(r, _with_substitutions)))
     )
+    nested = F.when(may_nest(text), nested_commands(text_col, names))
+    return let(nested, lambda found: F.coalesce(found, by_pattern))
+
+
+def quoted(name):
+    """A column of exactly this name."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def may_hold_command(text, names):
@@ -212,7 +224,7 @@ def commands(scripts, names, id_col="path", text_col="content", keep=()):
             ),
         )
 
-    found = let(pieces_of(marked_commands(text, names)), lambda pieces: hits(pieces))
+    found = let(pieces_of(marked_commands(text_col, names)), lambda pieces: hits(pieces))
     return (
         scripts.select(*keep, id_col, F.when(may_hold_command(text, names), found).alias("__hits"))
         .select(*keep, id_col, F.explode_outer("__hits").alias("__hit"))

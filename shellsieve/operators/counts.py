@@ -60,7 +60,7 @@ def _counts(rules):
     if commands:
         names = list(commands)
         by_name = let(
-            command_names(text, names),
+            command_names(names),
             lambda found: F.array(*[
                 _entry(rule_id, F.size(F.filter(found, lambda name: name == F.lit(command))))
                 for command, rule_id in commands.items()

@@ -102,7 +102,7 @@ def _all_hits(text, rules, value):
     marked = [_marked_by_rule(text, rule, value) for rule in rules if rule.kind == "regex"]
     if commands:
         marked.insert(0, if_commands_possible(_marked(
-            None, marked_commands(text, names), F.lit(None).cast("array<string>"), value)))
+            None, marked_commands(TEXT, names), F.lit(None).cast("array<string>"), value)))
 
     def hits(rule, pieces):
         by_command = rule["rule_id"].isNull()
@@ -163,9 +163,9 @@ def _marked(rule_id, marked, values, value):
     return F.struct(*columns, *([values.alias("values")] if value else []))
 
 
-def command_names(text, names):
-    """Array of the names of all commands in ``names``, in order."""
-    pieces = pieces_of(marked_commands(text, names))
+def command_names(names):
+    """Array of the names of all commands in ``names``, in order, in a table made by ``prepared``."""
+    pieces = pieces_of(marked_commands(TEXT, names))
     return F.transform(
         let(pieces, lambda p: F.slice(p, F.lit(2), F.size(p))),
         lambda piece: name_at_start(piece, names),

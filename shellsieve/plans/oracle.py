@@ -7,7 +7,7 @@ from the text before a match, commands from the form of the sample lines.
 from shellsieve.catalog import TEXT_PATTERNS, active_rules, builtin_rules
 from shellsieve.plans.queries import IGNORED, TOKEN_RULE, trace_line_sql
 from shellsieve.plans.report import _STYLE
-from shellsieve.plans.sample_scripts import EVENTS_PER_SCRIPT, line_sql
+from shellsieve.plans.sample_scripts import EVENTS_PER_SCRIPT, line_sql, nesting_sql
 
 _SPACE = (
     r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
@@ -408,6 +408,12 @@ FROM findings WHERE rule_id NOT IN ({ignored}) GROUP BY rule_id""")
         """SELECT regexp_extract(file_path, '[0-9]+')::BIGINT AS script_id, rule_id,
   line, "column", code_snippet FROM findings""",
     )
+    nesting = f"scripts AS (SELECT event_id, {nesting_sql('VARCHAR')} AS content FROM events)"
+    hits = [(name, f"{name} hit") for name in _NAMES.split("|")]
+    nesting = f"{nesting}, {_regex_hits(hits, keys='event_id')}"
+    sql["nested_commands"] = _with(
+        nesting, 'SELECT event_id, rule_id AS command_name, line, "column" FROM regex_matches'
+    )
     sql["scan_lost_files"] = _with(_ALL, """SELECT script_id, script_id % 10 <> 3 AS readable,
   CASE WHEN script_id % 10 <> 3 THEN coalesce(n, 0) ELSE 0 END::BIGINT AS findings
 FROM scripts LEFT JOIN (SELECT file_path AS path, count(*) AS n FROM findings GROUP BY 1) USING (path)""")

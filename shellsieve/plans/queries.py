@@ -18,7 +18,7 @@ from shellsieve.operators.findings import (
 from shellsieve.operators.scan import matches, scan
 from shellsieve.operators.tracelog import parse_trace, trace_summary
 from shellsieve.plans.report import report, write_report
-from shellsieve.plans.sample_scripts import line_sql, sample_scripts, scripts_with_paths
+from shellsieve.plans.sample_scripts import line_sql, nesting_sql, sample_scripts, scripts_with_paths
 from shellsieve.schemas import EVENTS
 from shellsieve.sources.checkpoints import shared_folder
 from shellsieve.sources.files import is_script, read_scripts, table_scripts, with_readable
@@ -112,6 +112,15 @@ def command_args(spark, sf_dir):
     )
 
 
+def nested_commands(spark, sf_dir):
+    """Commands of texts in which quotes, substitutions, here-documents and case arms nest."""
+    events = _table(spark, sf_dir, "events").select(
+        "event_id", F.expr(nesting_sql("STRING")).alias("content")
+    )
+    names = [rule.command_name for rule in active_rules(_command_rules())]
+    return commands(events, names, "event_id").select("event_id", "command_name", "line", "column")
+
+
 def findings_all(spark, sf_dir):
     return _findings(spark, sf_dir)
 
@@ -462,7 +471,7 @@ def all_queries():
     }
     for query in (
         regex_findings_all, dangerous_commands, command_counts, command_args, findings_all,
-        findings_min_high, findings_filtered_high, counts_by_rule, scan_totals, utf8_gate,
+        nested_commands, findings_min_high, findings_filtered_high, counts_by_rule, scan_totals, utf8_gate,
         classify_scripts, findings_ranked, findings_html_order, finding_snippets, risk_score_band,
         level_names, parse_levels, text_line_stats, line_of_offset, offset_of_line,
         html_escape_pages, strip_quotes_values, custom_rule_tokens, tokens_by_lang_source,

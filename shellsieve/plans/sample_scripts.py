@@ -49,6 +49,33 @@ LINE_TEMPLATES = [
 ]
 
 
+# Texts that nest, by event. A name that is followed by `hit` is a command, any other is none.
+NESTING_TEMPLATES = [
+    "concat('echo `date` rm no; rm hit', CAST(event_id AS {text}))",
+    "concat('echo { rm no; }; { rm hit; }; echo ', CAST(user_id AS {text}))",
+    "'a \"$(b \"$(c \"$(curl hit) rm no\")\" rm no)\"; wget hit'",
+    "concat('cat <<A <<B', chr(10), '$(rm hit) curl no', chr(10), 'A', chr(10), '`wget hit`', chr(10),"
+    " 'B', chr(10), 'sudo hit', CAST(user_id AS {text}))",
+    "concat('cat <<', chr(39), 'E', CAST(user_id AS {text}), chr(39), ' | sudo hit', chr(10), '$(rm no)', chr(10),"
+    " 'E', CAST(user_id AS {text}), chr(10), 'rm hit')",
+    "'for x in rm curl; do case $x in rm|curl) eval hit;; *) wget hit ;; esac; done'",
+    "'for x in rm no) do rm no'",
+    "'case rm in a) case $y in rm) curl hit;; esac;; esac; rm hit'",
+    "'a=(rm no $(curl hit)); function rm { wget hit; }; rm () { rm hit; }'",
+    "'[[ rm < curl && $(rm hit) ]] && curl hit; echo $(( rm + $(wget hit) ))'",
+    "'x=${a:-$(rm hit)}; echo \"${b:-it' || chr(39) || 's $(curl hit)}\"; # $(rm no)'",
+]
+
+
+def nesting_sql(text_type):
+    """The nesting text of an event as a SQL expression over event_id and user_id."""
+    cases = " ".join(
+        f"WHEN {i} THEN {template.replace('{text}', text_type)}"
+        for i, template in enumerate(NESTING_TEMPLATES)
+    )
+    return f"CASE event_id % {len(NESTING_TEMPLATES)} {cases} END"
+
+
 def line_sql(text_type):
     """The line of an event as a SQL expression over event_id and user_id."""
     cases = " ".join(

@@ -1,5 +1,7 @@
 """The command lexer on single texts."""
 
+import random
+
 from shellsieve.catalog import active_rules, builtin_rules
 from shellsieve.operators.commands import commands
 
@@ -81,10 +83,36 @@ CASES = [
     ("x=$(( y + $z )); (( rm )); ((i++)); rm q", ["rm"]),
 ]
 
-# What a real parse would answer differently; see the README.
-KNOWN_DIFFERENCES = [
-    ("echo `date` rm", ["rm"]),  # after a closing backtick
-    ("echo { rm", ["rm"]),  # a brace that opens no group
+# Nesting, and words that open something only in command position.
+NESTED = [
+    ("echo `date` rm", []),
+    ("echo { rm", []),
+    ('a "$(b "$(c "$(rm 1)")")"; curl x', ["rm", "curl"]),
+    ('echo "a $(echo "b $(echo "c $(rm x) d") e") f" rm', ["rm"]),
+    ("cat <<A <<'B' <<-C\n$(rm a)\nA\n$(curl b)\nB\n\t`wget c`\n\tC\nsudo x", ["rm", "wget", "sudo"]),
+    ("for x in rm curl) do rm; done", []),
+    ("for f in a b; do case $f in a) rm x;; (b|c) `curl y`;; esac; done; wget", ["rm", "curl", "wget"]),
+    ("case $x in a) case $y in b) rm 1;; esac;; c) curl;; esac", ["rm", "curl"]),
+    ("case rm in rm) ;; esac\nrm", ["rm"]),
+    ("rm a $(curl b) c; wget", ["rm", "curl", "wget"]),
+    ("${x:-$(rm a)} ; echo ${y:+\"`curl`\"}", ["rm", "curl"]),
+    ("echo \"${x:-it's}\"; rm y", ["rm"]),
+    ("a=(rm $(curl x) wget); sudo y", ["curl", "sudo"]),
+    ("function rm { curl x; }", ["curl"]),
+    ("function f() { rm x; }; rm () ( wget y )", ["rm", "wget"]),
+    ("[[ -f rm && $(curl x) ]] && rm y", ["curl", "rm"]),
+    ("[[ a < b ]]; rm", ["rm"]),
+    ("echo $(( 1 + $(rm x; echo \"$(curl y)\") )) ; wget", ["rm", "curl", "wget"]),
+    ("x=$(cat <<E\nrm $(curl a)\nE\n); rm b", ["curl", "rm"]),
+    ("( (rm x); { curl y; } )", ["rm", "curl"]),
+    ("echo a{rm,b} ; { rm; }", ["rm"]),
+    ("echo `rm a # curl` ; wget # rm `curl`", ["rm", "wget"]),
+    ("# it's $(rm\ncurl", ["curl"]),
+    ("! { rm x; } | while read; do sudo y; done", ["rm", "sudo"]),
+    ("rm$(x) ; rm\"a\" ; \\rm ; r\\m", []),
+    ("cat <<\"A B\"\nrm\nE\ncurl", ["rm", "curl"]),
+    ("cmd &> out; cmd >& out; cmd 2>&1 | rm", ["rm"]),
+    ("shopt; !(a|rm) ; ls @(rm|b)", []),
 ]
 
 POSITIONS = [
@@ -106,7 +134,7 @@ def run(spark, texts):
 
 
 def test_names(spark):
-    cases = CASES + KNOWN_DIFFERENCES
+    cases = CASES + NESTED
     for (text, expected), rows in zip(cases, run(spark, [text for text, _ in cases])):
         assert [row.command_name for row in rows] == expected, repr(text)
 
@@ -133,3 +161,96 @@ def test_long_texts(spark):
     ]
     counts = [len(rows) for rows in run(spark, [text for text, _ in texts])]
     assert counts == [count for _, count in texts]
+
+
+class Program:
+    """Random shell text with the commands it holds, built from the outside in."""
+
+    def __init__(self, rng, depth):
+        self.rng, self.hits, self.text = rng, [], ""
+        self.list(depth)
+
+    def put(self, *parts):
+        self.text += "".join(parts)
+
+    def list(self, depth):
+        for i in range(self.rng.randint(1, 2)):
+            if i:
+                self.put(self.rng.choice([" ; ", " && ", " | ", " || "]))
+            self.command(depth)
+
+    def command(self, depth):
+        kind = self.rng.randrange(9) if depth > 0 else 0
+        if kind == 1:
+            self.put("{ ")
+            self.list(depth - 1)
+            self.put("; }")
+        elif kind == 2:
+            self.put("( ")
+            self.list(depth - 1)
+            self.put(" )")
+        elif kind == 3:
+            self.put("if true; then ")
+            self.list(depth - 1)
+            self.put("; else :; fi")
+        elif kind == 4:
+            self.put("case \"$x\" in a|rm) ")
+            self.list(depth - 1)
+            self.put(" ;; (*) ")
+            self.list(depth - 1)
+            self.put(" ;; esac")
+        elif kind == 5:
+            self.put("while [[ -f rm ]]; do ")
+            self.list(depth - 1)
+            self.put("; done")
+        else:
+            name = self.rng.choice(["echo", "ls", *NAMES[:8]])
+            if name in NAMES:
+                self.hits.append((len(self.text.encode()), name))
+            self.put(name)
+            for _ in range(self.rng.randint(0, 2)):
+                self.put(" ")
+                self.word(depth - 1)
+
+    def word(self, depth, quoted=False):
+        kind = self.rng.randrange(8)
+        if kind == 0 or depth <= 0:
+            self.put(self.rng.choice(["a", "rm", "do", "é", "x#y", "{", "in", "esac", "then"]))
+        elif kind == 1:
+            self.put("'rm `$(curl \"'")
+        elif kind in (2, 3):
+            self.put('"b ')
+            self.inside(depth - 1)
+            self.put(' rm"')
+        elif kind == 4:
+            self.put("$(( 1 + (2) * ")
+            self.inside(depth - 1)
+            self.put(" ))")
+        elif kind == 5:
+            self.put("${v:-")
+            self.inside(depth - 1)
+            self.put("}")
+        else:
+            self.inside(depth)
+
+    def inside(self, depth):
+        """A substitution, or nothing of the kind."""
+        if depth <= 0 or self.rng.random() < 0.2:
+            self.put("$y")
+            return
+        # With a blank, since two opening parentheses are arithmetic.
+        self.put("$( ")
+        self.list(depth - 1)
+        self.put(")")
+
+
+def test_random_nesting(spark):
+    programs = []
+    for seed in range(400):
+        program = Program(random.Random(seed), 1 + seed % 20)
+        if len(program.text) < 20_000:
+            programs.append(program)
+    assert len(programs) > 300 and max(p.text.count("$(") for p in programs) > 20
+    found = run(spark, [p.text for p in programs])
+    for program, rows in zip(programs, found):
+        assert [(r.column - 1, r.command_name) for r in rows] == program.hits, program.text

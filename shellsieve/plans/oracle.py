@@ -414,6 +414,17 @@ FROM findings WHERE rule_id NOT IN ({ignored}) GROUP BY rule_id""")
     sql["nested_commands"] = _with(
         nesting, 'SELECT event_id, rule_id AS command_name, line, "column" FROM regex_matches'
     )
+    sql["rule_table_scan"] = """WITH pairs AS (
+  SELECT DISTINCT concat(words[i], ' ', words[i + 1]) AS pair
+  FROM (SELECT words, unnest(range(1, len(words))) AS i
+        FROM (SELECT regexp_extract_all(text, '[A-Za-z]+') AS words FROM benchmark))),
+forms AS (
+  SELECT pair, length(pair) % 2 = 0 AS caseless, CASE WHEN length(pair) % 2 = 0 THEN lower(pair) ELSE pair END AS form
+  FROM pairs),
+texts AS (SELECT doc_id, false AS caseless, text FROM documents UNION ALL SELECT doc_id, true, lower(text) FROM documents)
+SELECT doc_id, pair AS rule_id,
+       ((length(text) - length(replace(text, form, ''))) // length(form))::BIGINT AS findings
+FROM texts JOIN forms ON texts.caseless = forms.caseless AND contains(text, form)"""
     sql["scan_lost_files"] = _with(_ALL, """SELECT script_id, script_id % 10 <> 3 AS readable,
   CASE WHEN script_id % 10 <> 3 THEN coalesce(n, 0) ELSE 0 END::BIGINT AS findings
 FROM scripts LEFT JOIN (SELECT file_path AS path, count(*) AS n FROM findings GROUP BY 1) USING (path)""")

@@ -15,6 +15,7 @@ from shellsieve.operators.counts import level_totals, rule_counts, totals_by_rul
 from shellsieve.operators.findings import (
     at_least, by_level_text, by_severity, counts_by, numbered,
 )
+from shellsieve.operators.rule_index import scan_rule_table
 from shellsieve.operators.scan import matches, scan
 from shellsieve.operators.tracelog import parse_trace, trace_summary
 from shellsieve.plans.report import report, write_report
@@ -309,6 +310,20 @@ def tokens_by_lang_source(spark, sf_dir):
     )
 
 
+def rule_table_scan(spark, sf_dir):
+    """Every pair of neighbouring words of the benchmark as a rule, found in the documents."""
+    words = _table(spark, sf_dir, "benchmark").select(
+        F.expr("regexp_extract_all(text, '[A-Za-z]+', 0)").alias("words")
+    ).where("size(words) > 1")
+    pairs = words.select(F.explode(F.expr(
+        "transform(slice(words, 1, size(words) - 1), (word, i) -> concat(word, ' ', words[i + 1]))"
+    )).alias("pair")).distinct()
+    caseless = F.when(F.length("pair") % 2 == 0, F.lit("(?i)")).otherwise("")
+    rules = pairs.select(F.col("pair").alias("rule_id"), F.concat(caseless, "pair").alias("pattern"))
+    found = scan_rule_table(_table(spark, sf_dir, "documents"), rules, "doc_id", "text")
+    return found.groupBy("doc_id", "rule_id").agg(F.count("*").cast("long").alias("findings"))
+
+
 def ignored_rules(spark, sf_dir):
     rules = add_rules(ignore_rules(builtin_rules(), IGNORED), [TOKEN_RULE])
     counts = rule_counts(sample_scripts(spark, sf_dir), rules)
@@ -471,7 +486,7 @@ def all_queries():
     }
     for query in (
         regex_findings_all, dangerous_commands, command_counts, command_args, findings_all,
-        nested_commands, findings_min_high, findings_filtered_high, counts_by_rule, scan_totals, utf8_gate,
+        nested_commands, rule_table_scan, findings_min_high, findings_filtered_high, counts_by_rule, scan_totals, utf8_gate,
         classify_scripts, findings_ranked, findings_html_order, finding_snippets, risk_score_band,
         level_names, parse_levels, text_line_stats, line_of_offset, offset_of_line,
         html_escape_pages, strip_quotes_values, custom_rule_tokens, tokens_by_lang_source,

@@ -437,4 +437,16 @@ FROM findings JOIN scripts ON file_path = path GROUP BY ALL""")
     sql["trace_log_summary"] = _with(_TRACE, """SELECT pid, class, count(*)::BIGINT AS calls,
   count(error)::BIGINT AS failed FROM classed WHERE kind IN ('call', 'resumed')
 GROUP BY pid, class""")
+    sql["trace_whole_calls"] = _with(_TRACE, """SELECT pid, event_id AS first_place,
+  event_id AS last_place, syscall, class, args, result, error, 'whole' AS state
+FROM classed WHERE kind = 'call'
+UNION ALL
+SELECT pid, CASE WHEN before = 'unfinished' AND kind = 'resumed' THEN before_id ELSE event_id END, event_id,
+  syscall, class,
+  CASE WHEN before = 'unfinished' AND kind = 'resumed' THEN concat(before_args, ', ', args) ELSE args END,
+  result, error, CASE WHEN before = 'unfinished' AND kind = 'resumed' THEN 'joined' ELSE kind END
+FROM (SELECT *, lag(kind) OVER w AS before, lag(event_id) OVER w AS before_id, lag(args) OVER w AS before_args,
+        lead(kind) OVER w AS after FROM classed WHERE kind IN ('unfinished', 'resumed')
+      WINDOW w AS (PARTITION BY pid, syscall ORDER BY event_id))
+WHERE kind = 'resumed' OR after IS DISTINCT FROM 'resumed'""")
     return sql

@@ -17,7 +17,7 @@ from shellsieve.operators.findings import (
 )
 from shellsieve.operators.rule_index import scan_rule_table
 from shellsieve.operators.scan import matches, scan
-from shellsieve.operators.tracelog import parse_trace, trace_summary
+from shellsieve.operators.tracelog import parse_trace, trace_calls, trace_summary
 from shellsieve.plans.report import report, write_report
 from shellsieve.plans.sample_scripts import line_sql, nesting_sql, sample_scripts, scripts_with_paths
 from shellsieve.schemas import EVENTS
@@ -479,6 +479,10 @@ def trace_log_summary(spark, sf_dir):
     return trace_summary(parse_trace(_trace(spark, sf_dir)))
 
 
+def trace_whole_calls(spark, sf_dir):
+    return trace_calls(parse_trace(_trace(spark, sf_dir), keep=["event_id"]), "event_id")
+
+
 def all_queries():
     found = {
         f"rule_{rule.rule_id.lower()}": partial(rule_matches, rule.rule_id)
@@ -494,6 +498,7 @@ def all_queries():
         counts_by_level, counts_by_level_per_script, finding_type_levels,
         file_source_scan, scan_lost_files, file_source_direct, findings_partitioned, custom_rules_from_file,
         stream_scan, stream_level_windows, trace_log_events, trace_log_summary,
+        trace_whole_calls,
     ):
         found[query.__name__] = query
     found["ignore_rules_antijoin"] = ignored_rules

@@ -1,7 +1,10 @@
+import random
 from datetime import datetime, timedelta
 
 from shellsieve.operators.scan import scan
-from shellsieve.operators.tracelog import parse_trace, read_trace, trace_summary
+from shellsieve.operators.tracelog import (
+    parse_trace, read_trace, trace_calls, trace_calls_stream, trace_summary,
+)
 from shellsieve.streaming.scans import (
     latest_windows, level_windows, scan_stream, write_window_updates,
 )
@@ -92,3 +95,76 @@ def test_trace_log(spark, tmp_path):
     summary = {(r.pid, r["class"]): (r.calls, r.failed) for r in trace_summary(parsed).collect()}
     assert summary == {(10, "process"): (3, 0), (10, "file"): (2, 1), (11, "network"): (1, 1),
                        (11, "other"): (1, 0)}
+
+
+def half_lines(rng, n):
+    """(place, line) of calls of some processes, one of which has most; halves may be missing."""
+    out = []
+    for place in range(n):
+        pid = 7 if rng.random() < 0.6 else rng.randint(1, 5)
+        call = rng.choice(["read", "wait4"])
+        out.append((place, rng.choice([
+            f"{pid} {call}({place}, <unfinished ...>", f"{pid} <... {call} resumed>x{place}, 2) = {place}",
+            f"{pid} <... {call} resumed>) = -1 EINTR (Interrupted)", f"{pid} open({place}) = 3", f"{pid} --- SIGCHLD {{}} ---",
+        ])))
+    return out
+
+
+def plain_calls(lines):
+    """Calls put together by going through the log."""
+    waiting, out = {}, []
+    for place, line in lines:
+        pid, rest = line.split(" ", 1)
+        pid = int(pid)
+        if rest.startswith("--- "):
+            continue
+        if rest.startswith("<... "):
+            call = rest.split()[1]
+            args, result = rest.split("resumed>")[1].rsplit(") = ", 1)
+            error = "EINTR" if "EINTR" in result else None
+            first = waiting.pop((pid, call), None)
+            args = ", ".join(filter(None, [first and first[1], args])) or None
+            out.append((pid, first[0] if first else place, place, call, args, result.split()[0], error, "joined" if first else "resumed"))
+        elif rest.endswith("<unfinished ...>"):
+            call = rest.split("(")[0]
+            if (pid, call) in waiting:
+                old = waiting[pid, call]
+                out.append((pid, old[0], old[0], call, old[1], None, None, "unfinished"))
+            waiting[pid, call] = (place, rest.split("(")[1].split(", <")[0])
+        else:
+            out.append((pid, place, place, "open", str(place), "3", None, "whole"))
+    rest = [(pid, place, place, call, args, None, None, "unfinished") for (pid, call), (place, args) in waiting.items()]
+    return sorted(out, key=repr), sorted(rest, key=repr)
+
+
+CALL = ("pid", "first_place", "last_place", "syscall", "args", "result", "error", "state")
+
+
+def calls(df):
+    return sorted((tuple(row) for row in df.select(*CALL).collect()), key=repr)
+
+
+def test_halves_of_calls(spark):
+    for seed, at_once in ((1, 1), (2, 3), (3, 40), (4, 100_000)):
+        lines = half_lines(random.Random(seed), 400)
+        df = spark.createDataFrame(lines, "place long, line string").repartition(5)
+        found = calls(trace_calls(parse_trace(df, keep=["place"]), "place", places_at_once=at_once))
+        done, rest = plain_calls(lines)
+        assert found == sorted(done + rest, key=repr)
+    assert calls(trace_calls(parse_trace(df.limit(0), keep=["place"]), "place")) == []
+
+
+def test_halves_of_calls_in_a_stream(spark, tmp_path):
+    lines = half_lines(random.Random(9), 300)
+    done, _ = plain_calls(lines)
+    source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    for low, high in ((0, 10), (10, 150), (150, 151), (151, 300)):
+        part = spark.createDataFrame(lines[low:high], "place long, line string")
+        part.repartition(3).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("place long, line string").parquet(source)
+        found = trace_calls_stream(parse_trace(stream, keep=["place"]), "place")
+        # One batch: while halves may still time out, a query that takes all that is there goes on.
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(
+            once=True
+        ).start().awaitTermination(120)
+    assert calls(spark.read.parquet(out)) == done

@@ -9,7 +9,7 @@ from shellsieve.llm.decontaminate import contamination
 from shellsieve.llm.exact import exact_duplicates
 from shellsieve.llm.htmltext import extract_text
 from shellsieve.llm.langid import identify_languages
-from shellsieve.llm.lm import BACKOFF, MIN_COUNT, VOCABULARY, lm_scores
+from shellsieve.llm.lm import lm_scores
 from shellsieve.llm.mix import mix
 from shellsieve.llm.passages import without_repeated_passages
 from shellsieve.llm.periods import periodic_runs, with_planted_runs
@@ -172,21 +172,16 @@ WITH docs AS (
 tokens AS (
   SELECT row, i, words[i] AS word
   FROM (SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM docs)),
-vocabulary AS (
-  SELECT word, count(*) AS n FROM tokens GROUP BY word
-  ORDER BY n DESC, encode(word) LIMIT {VOCABULARY}),
-known AS (SELECT row, i, v.word FROM tokens t LEFT JOIN vocabulary v ON t.word = v.word),
 pairs AS (
-  SELECT row, i, word, lag(word) OVER text AS before, i > 1 AS follows FROM known
+  SELECT row, i, word, lag(word) OVER text AS before, i > 1 AS follows FROM tokens
   WINDOW text AS (PARTITION BY row ORDER BY i)),
-words AS (SELECT word, count(*) AS n FROM known GROUP BY word),
+words AS (SELECT word, count(*) AS n FROM tokens GROUP BY word),
 followed AS (SELECT before, count(*) AS n FROM pairs WHERE follows GROUP BY before),
 counted AS (SELECT before, word, count(*) AS n FROM pairs WHERE follows GROUP BY before, word),
 logs AS (
-  SELECT p.row, CASE WHEN follows AND c.n >= {MIN_COUNT}
+  SELECT p.row, CASE WHEN follows
            THEN round(ln(c.n) * 1000000) - round(ln(f.n) * 1000000)
-           ELSE round(ln(w.n) * 1000000) - round(ln((SELECT count(*) FROM tokens)) * 1000000)
-                + CASE WHEN follows THEN round(ln({BACKOFF}) * 1000000) ELSE 0 END END AS score
+           ELSE round(ln(w.n) * 1000000) - round(ln((SELECT count(*) FROM tokens)) * 1000000) END AS score
   FROM pairs p JOIN words w ON p.word IS NOT DISTINCT FROM w.word
   LEFT JOIN followed f ON follows AND p.before IS NOT DISTINCT FROM f.before
   LEFT JOIN counted c ON follows AND p.before IS NOT DISTINCT FROM c.before

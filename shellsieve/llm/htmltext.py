@@ -43,7 +43,11 @@ CLOSES = {
 }
 SCOPE = frozenset("table td th caption button object template html".split())
 HEAD_PARTS = frozenset("base link meta noscript script style template title".split())
+#: Elements nested deeper keep text, order, visibility and line breaks, but no layout of their own.
 MAX_DEPTH = 200
+#: Characters up to which a column of a table is aligned, and up to which all of them are; what is
+#: longer moves the rest of its row. Columns over which cells may reach.
+MAX_WIDTH, MAX_START, MAX_COLUMNS = 80, 400, 2000
 
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:(?P<q>[\"'])|([^\s>]*)))?")
@@ -126,33 +130,92 @@ def _events(page: str) -> Iterator[tuple]:
             at = lt + 1
 
 
-def tree(page: str) -> Node:
-    """The page as a tree under ``html``; deeper elements than ``MAX_DEPTH`` are siblings."""
-    root = Node("html", {})
-    stack = [root]
-
-    def pop_to(tags, bounds) -> bool:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return True
-            if stack[i].tag in bounds:
-                return False
-        return False
+class Open:
+    """An open element: the node that takes its content, and whether that is shown."""
+
+    __slots__ = ("child_shown", "node", "own", "summary", "tag")
+
+    def __init__(self, tag: str, node: Node, own: bool, child_shown: bool, summary: bool = False):
+        self.tag, self.node, self.own, self.child_shown, self.summary = tag, node, own, child_shown, summary
+
 
+class Builder:
+    """Builds the tree; elements below ``MAX_DEPTH`` give their content to the node there."""
+
+    def __init__(self):
+        self.root = Node("html", {})
+        self.stack = [Open("html", self.root, True, True)]
+        # Where elements of each tag are open in the stack.
+        self.places: dict[str, list[int]] = {"html": [0]}
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def pop_to(self, tags, bounds) -> bool:
+        """Close up to the innermost of ``tags`` if none of ``bounds`` is open within it."""
+        at = self.last(tags)
+        if at == 0 or at < self.last(bounds):
+            return False
+        while len(self.stack) > at:
+            self.pop()
+        return True
+
+    def pop(self) -> None:
+        closed = self.stack.pop()
+        self.places[closed.tag].pop()
+        if not closed.own and closed.tag in BLOCKS and self.stack[-1].child_shown:
+            closed.node.children.append(Node("div", {}))
+
+    def text(self, text: str) -> None:
+        top = self.stack[-1]
+        if top.child_shown:
+            top.node.children.append(text)
+
+    def add(self, node: Node) -> None:
+        """A node without content, or the start of an element."""
+        top = self.stack[-1]
+        deep = len(self.stack) >= MAX_DEPTH
+        # Of a closed details element only the first summary is shown; this far down that is told here.
+        first_summary = top.summary and node.tag == "summary"
+        if first_summary:
+            top.summary = False
+        visible = (top.child_shown or first_summary) and (not deep or shown(node))
+        if node.tag in VOID:
+            if visible:
+                top.node.children.append(node)
+            return
+        if not deep:
+            top.node.children.append(node)
+            self.push(Open(node.tag, node, True, True))
+            return
+        if visible and node.tag in BLOCKS:
+            top.node.children.append(Node("div", {}))
+        shut = node.tag == "details" and "open" not in node.attributes
+        self.push(Open(node.tag, top.node, False, visible and not shut, visible and shut))
+
+    def push(self, element: Open) -> None:
+        self.places.setdefault(element.tag, []).append(len(self.stack))
+        self.stack.append(element)
+
+
+def tree(page: str) -> Node:
+    """The page as a tree under ``html``; see ``Builder`` for very deep elements."""
+    builder = Builder()
+    stack, pop_to = builder.stack, builder.pop_to
     for event in _events(page):
         if len(event) == 1:
             if stack[-1].tag == "head" and event[0].strip():
-                stack.pop()
-            stack[-1].children.append(event[0])
+                builder.pop()
+            builder.text(event[0])
             continue
         tag, attributes = event
         if attributes is None:
             if tag == "br":
-                stack[-1].children.append(Node("br", {}))
+                builder.add(Node("br", {}))
             elif tag == "p":
                 if not pop_to({"p"}, SCOPE):
-                    stack[-1].children.append(Node("p", {}))
+                    builder.add(Node("p", {}))
+                    builder.pop()
             elif tag in {"h1", "h2", "h3", "h4", "h5", "h6"}:
                 pop_to({"h1", "h2", "h3", "h4", "h5", "h6"}, SCOPE)
             elif tag == "li":
@@ -163,21 +226,18 @@ def tree(page: str) -> Node:
                 pop_to({tag}, SCOPE - {tag})
             continue
         if tag == "html":
-            root.attributes = attributes | root.attributes
+            builder.root.attributes = attributes | builder.root.attributes
             continue
         if stack[-1].tag == "head" and tag not in HEAD_PARTS:
-            stack.pop()
+            builder.pop()
         if tag in BLOCKS and tag not in {"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "option", "optgroup"}:
             pop_to({"p"}, SCOPE)
         if tag in CLOSES:
             closed, bounds = CLOSES[tag]
             while pop_to(closed, bounds):
                 pass
-        node = Node(tag, attributes)
-        stack[-1].children.append(node)
-        if tag not in VOID and len(stack) < MAX_DEPTH:
-            stack.append(node)
-    return root
+        builder.add(Node(tag, attributes))
+    return builder.root
 
 
 def shown(node: Node) -> bool:
@@ -326,7 +386,11 @@ def _list(node: Node) -> list[str]:
 
 
 def _table(node: Node) -> list[str]:
-    """Rows of cells, each column as wide as its widest cell; cells over several columns or rows."""
+    """Rows of cells, each column as wide as its widest cell; cells over several columns or rows.
+
+    Columns are aligned up to ``MAX_WIDTH`` characters each and ``MAX_START`` together, so what is put in
+    for alignment is bounded by the number of rows; a longer cell moves the rest of its row.
+    """
     captions, rows, loose = [], [], Node("div", {})
 
     def collect(part: Node) -> None:
@@ -357,6 +421,7 @@ def _table(node: Node) -> list[str]:
             while taken.get(column, 0) > r:
                 column += 1
             across = max(1, _number(cell.attributes.get("colspan"), 1, 1000))
+            across = min(across, max(1, MAX_COLUMNS - column))
             down = max(1, _number(cell.attributes.get("rowspan"), 1, 65534))
             for c in range(column, column + across):
                 taken[c] = r + down
@@ -374,22 +439,28 @@ def _table(node: Node) -> list[str]:
                         widths[last] = widths.get(last, 0) + need - have
     starts, at = {}, 0
     for c in range(max(taken, default=-1) + 1):
-        starts[c] = at
+        starts[c] = min(at, MAX_START)
         # A column without text takes no room.
-        at += widths.get(c, 0) + 2 * (widths.get(c, 0) > 0)
+        width = min(widths.get(c, 0), MAX_WIDTH)
+        at += width + 2 * (width > 0)
     out = Lines()
     for caption in captions:
         out.put(_layout(caption))
     # What does not belong into a table stands before it.
     out.put(_layout(loose))
     for line in placed:
-        for k in range(max((len(lines) for _, _, lines in line), default=0)):
-            text = ""
-            for column, _, lines in line:
-                if k < len(lines):
-                    text = text.ljust(starts[column])
-                    text += ("" if not text or text.endswith(" ") else "  ") + lines[k]
-            out.put([text.rstrip()])
+        left, k = [cell for cell in line if cell[2]], 0
+        while left:
+            parts, size = [], 0
+            for column, _, lines in left:
+                gap = starts[column] - size
+                if gap <= 0 and size:
+                    gap = 0 if parts[-1].endswith(" ") else 2
+                parts += [" " * gap, lines[k]]
+                size += max(gap, 0) + len(lines[k])
+            out.put(["".join(parts).rstrip()])
+            k += 1
+            left = [cell for cell in left if k < len(cell[2])]
     return out.lines
 
 

@@ -64,6 +64,92 @@ def test_all_words_of_given_pages_in_order():
         assert "".join("".join(lines).split()) == "".join("".join(parser.words).split())
 
 
+HIDING = ["hidden", "style='display:none'", "style='VISIBILITY: hidden; x: y'"]
+
+
+def random_tree(rng, depth, words):
+    """Markup of nested elements, each closed, and what of its words is shown, level by level."""
+    page, close, visible, shows = [], [], True, []
+    for level in range(depth):
+        word = f"w{len(words)}"
+        words.append(word)
+        tag = rng.choice(["div", "span", "b", "section"])
+        hidden = rng.random() < 0.01
+        if hidden and rng.random() < 0.3:
+            # A hidden element beside the way down.
+            page.append(f"<{tag} {rng.choice(HIDING)}>no{level}<i>no</i></{tag}>")
+            hidden = False
+        visible = visible and not hidden
+        page.append(f"<{tag} {rng.choice(HIDING) if hidden else ''}> {word} ")
+        close.append((f" e{word} </{tag}>", visible, f"e{word}"))
+        if visible:
+            shows.append(word)
+    for text, was_visible, word in reversed(close):
+        page.append(text)
+        if was_visible:
+            shows.append(word)
+    return "".join(page), shows
+
+
+@pytest.mark.parametrize("depth", [5, 150, 199, 203, 1000])
+def test_what_is_hidden_stays_hidden_at_any_depth(depth):
+    rng = random.Random(depth)
+    for _ in range(20):
+        page, shows = random_tree(rng, depth, [])
+        assert page_text(page).split() == shows
+
+
+def test_deep_details_and_blocks():
+    deep = "<div>" * 250
+    assert page_text(deep + "<p hidden>SECRET</p><span style='display:none'>S2</span>y") == "y"
+    assert page_text(deep + "a<p>b</p>c<details>no<summary>s</summary><summary>no</summary>no</details>d").split() == [
+        "a", "b", "c", "s", "d",
+    ]
+    assert page_text(deep + "a<div>b</div>c<br>d") == "a\nb\nc\nd"
+
+
+def plain_table(rows):
+    """Cells of one line, columns as wide as the widest of them."""
+    widths = [max((len(r[c]) for r in rows if c < len(r)), default=0) for c in range(max(map(len, rows)))]
+    starts = [sum(w + 2 for w in widths[:c] if w) for c in range(len(widths))]
+    out = []
+    for row in rows:
+        line = ""
+        for c, cell in enumerate(row):
+            if cell:
+                line = line.ljust(starts[c]) + cell
+        if line:
+            out.append(line)
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize("seed", range(15))
+def test_tables_equal_a_plain_layout(seed):
+    rng = random.Random(seed)
+    rows = [[rng.choice(["", "a", "bb", "word " * 3 + "x", "é"]) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 6))]
+    page = "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows) + "</table>"
+    assert page_text(page) == plain_table(rows)
+
+
+def test_long_cells_and_many_rows():
+    """What is put in for alignment grows with the rows, not with rows times widths."""
+    cell = "x" * 20_000
+    page = f"<table><tr><td>{cell}<td>y" + "<tr><td>a<td>b" * 2000 + "</table>"
+    text = page_text(page)
+    lines = text.split("\n")
+    assert lines[0] == f"{cell}  y" and lines[1] == "a".ljust(82) + "b" and len(text) < 4 * len(page) + 400 * 2001
+    wide = "<table><tr>" + f"<td>{'z' * 80}" * 900 + "<tr><td colspan=899><td>q" * 3000 + "</table>"
+    text = page_text(wide)
+    assert len(text) < 20 * len(wide) and text.count("q") == 3000
+    assert len(page_text("<table>" + "<tr>" + "<td colspan=1000>c" * 20_000 + "</table>")) < 500_000
+    tall = "<table><tr><td>" + "l<br>" * 20_000 + "<td>m" * 2000 + "</table>"
+    assert page_text(tall).count("l") == 20_000
+
+
+def test_many_ends_of_nothing_open():
+    assert page_text("<td><div>" * 20_000 + "</p></b>" * 20_000 + "x").split()[-1] == "x"
+
+
 def test_deep_long_and_broken_pages(spark):
     assert page_text("<div>" * 50_000 + "x") == "x"
     assert page_text("<b " * 2000 + ">x") is not None

@@ -5,7 +5,7 @@ from the text before a match, commands from the form of the sample lines.
 """
 
 from shellsieve.catalog import TEXT_PATTERNS, active_rules, builtin_rules
-from shellsieve.plans.queries import IGNORED, TOKEN_RULE, trace_line_sql
+from shellsieve.plans.queries import IGNORED, TOKEN_RULE, process_line_sql, trace_line_sql
 from shellsieve.plans.report import _STYLE
 from shellsieve.plans.sample_scripts import EVENTS_PER_SCRIPT, line_sql, nesting_sql
 
@@ -449,4 +449,27 @@ FROM (SELECT *, lag(kind) OVER w AS before, lag(event_id) OVER w AS before_id, l
         lead(kind) OVER w AS after FROM classed WHERE kind IN ('unfinished', 'resumed')
       WINDOW w AS (PARTITION BY pid, syscall ORDER BY event_id))
 WHERE kind = 'resumed' OR after IS DISTINCT FROM 'resumed'""")
+    processes = _TRACE.replace(trace_line_sql("VARCHAR"), process_line_sql("VARCHAR")).replace(
+        "IN ('execve', 'wait4')", "IN ('execve', 'clone', 'fork')"
+    )
+    sql["trace_process_trees"] = f"""WITH RECURSIVE {processes}, births AS (
+  SELECT event_id, pid AS parent, result::BIGINT AS child FROM classed
+  WHERE syscall IN ('clone', 'fork') AND result::BIGINT > 0),
+lines AS (
+  SELECT event_id, pid, 0 AS birth FROM classed UNION ALL SELECT event_id, child, 1 FROM births),
+numbered AS (
+  SELECT *, sum(birth) OVER (PARTITION BY pid ORDER BY event_id, birth ROWS UNBOUNDED PRECEDING)::BIGINT AS process
+  FROM lines),
+links AS (
+  SELECT c.pid, c.process, p.pid AS parent_pid, p.process AS parent_process
+  FROM numbered c JOIN numbered p USING (event_id) WHERE c.birth = 1 AND p.birth = 0),
+tree AS (
+  SELECT DISTINCT pid, process, pid AS root_pid, process AS root_process FROM numbered
+  WHERE birth = 0 AND process = 0
+  UNION ALL
+  SELECT l.pid, l.process, t.root_pid, t.root_process FROM tree t
+  JOIN links l ON l.parent_pid = t.pid AND l.parent_process = t.process)
+SELECT root_pid, root_process, class, count(*)::BIGINT AS calls, count(error)::BIGINT AS failed
+FROM classed JOIN numbered USING (event_id, pid) JOIN tree USING (pid, process)
+WHERE birth = 0 GROUP BY ALL"""
     return sql

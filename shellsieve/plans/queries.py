@@ -15,6 +15,7 @@ from shellsieve.operators.counts import level_totals, rule_counts, totals_by_rul
 from shellsieve.operators.findings import (
     at_least, by_level_text, by_severity, counts_by, numbered,
 )
+from shellsieve.operators.processes import calls_per_tree
 from shellsieve.operators.rule_index import scan_rule_table
 from shellsieve.operators.scan import matches, scan
 from shellsieve.operators.tracelog import parse_trace, trace_calls, trace_summary
@@ -483,6 +484,31 @@ def trace_whole_calls(spark, sf_dir):
     return trace_calls(parse_trace(_trace(spark, sf_dir), keep=["event_id"]), "event_id")
 
 
+# Line of a trace of processes that start each other; pids come again and again.
+PROCESS_TEMPLATES = [
+    "concat(' clone(child_stack=NULL, flags=SIGCHLD) = ', CAST(1000 + event_id * 17 % 97 AS {text}))",
+    "concat(' openat(AT_FDCWD, \"/f\", O_RDONLY) = ', CAST(event_id % 9 AS {text}))",
+    "' connect(3, {sa_family=AF_INET}, 16) = -1 ECONNREFUSED (Connection refused)'",
+    "' execve(\"/bin/ls\", [\"ls\"], 0x7ffd /* 20 vars */) = 0'",
+    "' fork() = -1 EAGAIN (Resource temporarily unavailable)'",
+    "' stat(\"/nope\", 0x7ffe) = -1 ENOENT (No such file or directory)'",
+]
+
+
+def process_line_sql(text_type):
+    cases = " ".join(
+        f"WHEN {i} THEN {template.replace('{text}', text_type)}" for i, template in enumerate(PROCESS_TEMPLATES)
+    )
+    pid = f"CAST(1000 + (event_id * 31 + user_id) % 97 AS {text_type})"
+    return f"concat({pid}, CASE event_id % {len(PROCESS_TEMPLATES)} {cases} END)"
+
+
+def trace_process_trees(spark, sf_dir):
+    """Calls of every tree of processes, counted for the one that all others come from."""
+    events = _table(spark, sf_dir, "events").select("event_id", F.expr(process_line_sql("STRING")).alias("line"))
+    return calls_per_tree(trace_calls(parse_trace(events, keep=["event_id"]), "event_id"))
+
+
 def all_queries():
     found = {
         f"rule_{rule.rule_id.lower()}": partial(rule_matches, rule.rule_id)
@@ -498,7 +524,7 @@ def all_queries():
         counts_by_level, counts_by_level_per_script, finding_type_levels,
         file_source_scan, scan_lost_files, file_source_direct, findings_partitioned, custom_rules_from_file,
         stream_scan, stream_level_windows, trace_log_events, trace_log_summary,
-        trace_whole_calls,
+        trace_whole_calls, trace_process_trees,
     ):
         found[query.__name__] = query
     found["ignore_rules_antijoin"] = ignored_rules

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+from shellsieve.operators.processes import process_roots
 from shellsieve.operators.scan import scan
 from shellsieve.operators.tracelog import (
     parse_trace, read_trace, trace_calls, trace_calls_stream, trace_summary,
@@ -168,3 +169,32 @@ def test_halves_of_calls_in_a_stream(spark, tmp_path):
             once=True
         ).start().awaitTermination(120)
     assert calls(spark.read.parquet(out)) == done
+
+
+def test_processes_and_their_roots(spark):
+    """Against a walk through the log; pids come again, a parent may have its child's old pid."""
+    rng = random.Random(4)
+    lines, parent, number, expected = [], {}, {}, []
+    for place in range(600):
+        pid = 1 if rng.random() < 0.5 else rng.randint(2, 9)
+        me = (pid, number.get(pid, 0))
+        child = rng.randint(2, 12) if rng.random() < 0.2 else None
+        lines.append((place, f"{pid} clone() = {child}" if child else f"{pid} open({place}) = 3"))
+        expected.append((place, me))
+        if child:
+            number[child] = number.get(child, 0) + 1
+            parent[child, number[child]] = me
+
+    def root(process):
+        while process in parent:
+            process = parent[process]
+        return process
+
+    df = spark.createDataFrame(lines, "place long, line string").repartition(4)
+    calls = trace_calls(parse_trace(df, keep=["place"]), "place")
+    for at_once in (7, 100_000):
+        found = process_roots(calls, places_at_once=at_once).collect()
+        assert sorted((r.first_place, (r.pid, r.process), (r.root_pid, r.root_process)) for r in found) == [
+            (place, me, root(me)) for place, me in expected
+        ]
+    assert process_roots(calls.limit(0)).collect() == []

@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shellsieve.llm.common import stored
 from shellsieve.llm.decontaminate import drop_contaminated
 from shellsieve.llm.langid import drop_undetermined
 from shellsieve.llm.mix import mixed
 from shellsieve.llm.queries import table, tokenizer_path
 from shellsieve.llm.simhash import drop_near_duplicates
 from shellsieve.llm.tokens import token_files
+from shellsieve.sources.checkpoints import Scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents of undetermined language."""
+    """Without documents of undetermined language: no letter, or a score that no known text has."""
     return drop_undetermined(docs)
 
 
@@ -54,7 +54,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's rows written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = scratch.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        scratch.drop(keep=[docs])
+    # The token files are written by the time this returns.
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    scratch.drop()
+    return out

@@ -67,13 +67,14 @@ def match_starts(pieces, in_bytes=None):
     """
 
     def step(piece):
-        tail = F.substring_index(piece, "\n", -1)
-        size = F.length(tail)
-        if in_bytes is not None:
-            size = F.when(in_bytes, F.octet_length(tail)).otherwise(size)
-        kept = F.octet_length(F.replace(piece, F.lit("\n"), F.lit("")))
-        breaks = F.octet_length(piece) - kept
-        return F.struct(breaks.alias("breaks"), size.alias("tail"))
+        def sized(lines):
+            tail = F.element_at(lines, -1)
+            size = F.length(tail)
+            if in_bytes is not None:
+                size = F.when(in_bytes, F.octet_length(tail)).otherwise(size)
+            return F.struct((F.size(lines) - 1).alias("breaks"), size.alias("tail"))
+
+        return let(F.split(piece, "\n"), sized)
 
     steps = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), step)
     return F.transform(

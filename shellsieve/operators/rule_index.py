@@ -1,16 +1,23 @@
 """Rules that are a table: thousands of patterns, found through an index of their literals.
 
 Every match of a rule holds its literal, and a text that holds the literal holds each
-part of it of four characters. Of these parts the rule is filed under the one that the fewest
-texts have, as counted. Texts are cut into such parts too and meet the rules filed
-under them; only such pairs are tried with the pattern itself. So the plan is the same for any
-number of rules, rules are never brought to the driver, and a part that every text has decides
-nothing.
+part of it of eight characters, or of four where the literal is shorter than eight. Of these parts
+the rule is filed under the one that the fewest texts have, as counted. Texts are cut into such
+parts too and meet the rules filed under them; only such pairs, and of these only those whose text
+holds the whole literal, are tried with the pattern itself. So the plan is the same for any number
+of rules, rules are never brought to the driver, and a part that every text has decides nothing.
+
+A pattern that is nothing but its literal cuts the text where that stands, or, if it is caseless, the lowered
+text, as long as that has the same number of characters.
 
 Rules that have no literal of four characters are tried on every text.
 """
 
+import re
+from functools import reduce
+
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shellsieve.functions.dialect import portable, unsupported
@@ -19,17 +26,21 @@ from shellsieve.functions.positions import MARK, let, match_starts, pieces_of, w
 from shellsieve.sources.checkpoints import Scratch
 from shellsieve.sources.workers import ship
 
-GRAM = 4
+#: Sizes of the parts; a literal shorter than the first is no help.
+GRAM, LONG_GRAM = 4, 8
 #: Rules that are broadcast at once; more are taken in turns, a pass over the texts each.
 RULES_AT_ONCE = 50_000
 
-_RULE, _TEXT = "__rule", "__text"
-# Every stretch of four characters; the match itself is empty, so the next begins one further on.
-_GRAMS = f"(?s)(?=(.{{{GRAM}}}))"
+_TEXT, _FOLDED, _SAME_SIZE = "__text", "__folded", "__same_size"
+
 
+def _grams(text, size):
+    # Every stretch of so many characters; the match itself is empty, so the next begins one further on.
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
-def _grams(text):
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(_GRAMS), F.lit(1)))
+
+def _all_grams(text):
+    return F.concat(_grams(text, GRAM), _grams(text, LONG_GRAM))
 
 
 def _folded(text):
@@ -41,14 +52,43 @@ def _compiled(patterns: pd.Series) -> pd.DataFrame:
     rows = []
     for pattern in patterns:
         what = "no pattern" if pattern is None else unsupported(pattern)
-        rows.append((None, None, what) if what else (portable(pattern), required_literal(pattern), None))
-    return pd.DataFrame(rows, columns=["java_pattern", "literal", "problem"])
+        if what:
+            rows.append((None, None, None, what))
+        else:
+            literal = required_literal(pattern)
+            plain = pattern if _is_plain(pattern) else None
+            rows.append((portable(pattern), literal, plain, None))
+    return pd.DataFrame(rows, columns=["java_pattern", "literal", "plain", "problem"])
+
+
+def _is_plain(pattern):
+    """Whether ``pattern``, but for a leading (?i), holds ASCII characters that stand for themselves alone."""
+    return re.fullmatch(r"(\(\?i\))?[^\\.^$*+?{}\[\]|()\x80-\U0010FFFF]+", pattern) is not None
+
+
+def _pieces():
+    """The text before the first match, and from each match to the next."""
+    plain, caseless = F.col("plain"), F.startswith(F.col("plain"), F.lit("(?i)"))
+
+    def cut(text, literal):
+        parts = F.split(text, F.concat(F.lit(r"\Q"), literal, F.lit(r"\E")), -1)
+        return F.transform(parts, lambda part, i: F.when(i > 0, F.concat(literal, part)).otherwise(part))
+
+    marked = F.regexp_replace(F.col(_TEXT), F.col("java_pattern"), F.lit(MARK + "$0"))
+    return (
+        F.when(plain.isNotNull() & ~caseless, cut(F.col(_TEXT), plain))
+        .when(plain.isNotNull() & F.col(_SAME_SIZE), cut(F.col(_FOLDED), F.col("literal")))
+        .otherwise(pieces_of(marked))
+    )
 
 
 def compiled_rules(rules, id_col="rule_id", pattern_col="pattern"):
-    """rule_id, java_pattern and literal of every rule of a table; ValueError if one is no rule."""
+    """rule_id, java_pattern, literal and plain of every rule of a table; ValueError if one is no rule.
+
+    ``plain`` is the pattern if it is nothing but its literal.
+    """
     ship(rules.sparkSession)
-    compiled = F.pandas_udf(_compiled, "java_pattern string, literal string, problem string")
+    compiled = F.pandas_udf(_compiled, "java_pattern string, literal string, plain string, problem string")
     table = rules.select(
         F.col(id_col).alias("rule_id"), F.col(pattern_col).alias("pattern"), compiled(F.col(pattern_col)).alias("c")
     ).select("rule_id", "pattern", "c.*")
@@ -58,21 +98,23 @@ def compiled_rules(rules, id_col="rule_id", pattern_col="pattern"):
     ).where("problem IS NOT NULL")
     if found := bad.limit(3).collect():
         raise ValueError("; ".join(f"{row.rule_id}: the pattern has {row.problem}" for row in found))
-    return table.select("rule_id", "java_pattern", "literal")
+    return table.select("rule_id", "java_pattern", "literal", "plain")
 
 
 def _filed(rules, texts, scratch):
     """``rules`` with ``gram``, the part of the literal that the fewest texts have."""
+    literal = F.col("literal")
+    grams = F.when(F.length(literal) < LONG_GRAM, _grams(literal, GRAM)).otherwise(_grams(literal, LONG_GRAM))
     parts = scratch.stored(
-        rules.select("rule_id", "java_pattern", F.explode(_grams(F.col("literal"))).alias("gram")), "rule-parts"
+        rules.select("rule_id", "java_pattern", "literal", "plain", F.explode(grams).alias("gram")), "rule-parts"
     )
     wanted = parts.select("gram").distinct()
     counts = (
-        texts.select(F.explode(_grams(_folded(F.col(_TEXT)))).alias("gram"))
+        texts.select(F.explode(_all_grams(F.col(_FOLDED))).alias("gram"))
         .join(F.broadcast(wanted), "gram").groupBy("gram").agg(F.count("*").alias("texts"))
     )
     held = parts.join(counts, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
-    rarest = F.min_by(F.struct("gram", "java_pattern"), F.struct("texts", "gram")).alias("part")
+    rarest = F.min_by(F.struct("gram", "java_pattern", "literal", "plain"), F.struct("texts", "gram")).alias("part")
     # A part that no text has finds nothing, and neither does the rule.
     return held.groupBy("rule_id").agg(rarest, F.min("texts").alias("texts")).where("texts > 0").select(
         "rule_id", "part.*"
@@ -88,9 +130,14 @@ def scan_rule_table(texts, rules, id_col="path", text_col="content", keep=(), ru
     spark = texts.sparkSession
     scratch = Scratch(spark)
     columns = list(dict.fromkeys([*keep, id_col]))
-    texts = texts.where(F.col(text_col).isNotNull()).select(*columns, F.col(text_col).alias(_TEXT))
+    # Both forms are made once a text, not once a pair.
+    texts = texts.where(F.col(text_col).isNotNull()).select(*columns, without_marks(F.col(text_col)).alias(_TEXT))
+    # Only a dotted capital I grows when lowered, and no letter goes.
+    texts = texts.withColumn(_FOLDED, _folded(F.col(_TEXT))).withColumn(
+        _SAME_SIZE, F.length(_FOLDED) == F.length(_TEXT)
+    )
     compiled = compiled_rules(rules, rule_id_col, pattern_col)
-    compiled = compiled.groupBy("rule_id").agg(F.min(F.struct("java_pattern", "literal")).alias("rule"))
+    compiled = compiled.groupBy("rule_id").agg(F.min(F.struct("java_pattern", "literal", "plain")).alias("rule"))
     compiled = scratch.stored(compiled.select("rule_id", "rule.*"), "rules")
     turns = -(-compiled.count() // RULES_AT_ONCE) or 1
     found = None
@@ -105,18 +152,16 @@ def _matches(texts, rules, columns, scratch):
     indexed = F.length("literal") >= GRAM
     # What these hold is stored: a row a rule, of which there are ``RULES_AT_ONCE`` or so.
     filed = scratch.stored(_filed(rules.where(indexed), texts, scratch), "rules-filed")
-    other = scratch.stored(rules.where(~indexed).select("rule_id", "java_pattern"), "rules-unfiled")
-    candidates = (
-        texts.select(*columns, _TEXT, F.explode(_grams(_folded(F.col(_TEXT)))).alias("gram"))
-        .join(F.broadcast(filed), "gram").drop("gram")
-    )
-    candidates = candidates.where(F.rlike(F.col(_TEXT), F.col("java_pattern")))
+    other = scratch.stored(rules.where(~indexed).select("rule_id", "java_pattern", "literal", "plain"), "rules-unfiled")
+    found = [
+        texts.select(*columns, _TEXT, _FOLDED, _SAME_SIZE, F.explode(_all_grams(F.col(_FOLDED))).alias("gram"))
+        .join(F.broadcast(filed), "gram").where(F.contains(F.col(_FOLDED), F.col("literal")))
+    ]
     if not other.isEmpty():
-        tried = texts.join(F.broadcast(other), F.rlike(F.col(_TEXT), F.col("java_pattern")))
-        candidates = candidates.unionByName(tried.select(candidates.columns))
-    marked = F.regexp_replace(without_marks(F.col(_TEXT)), F.col("java_pattern"), F.lit(MARK + "$0"))
-    starts = let(pieces_of(marked), lambda pieces: match_starts(pieces))
-    return (
-        candidates.select(*columns, "rule_id", F.posexplode(starts).alias("at", "place"))
-        .select(*columns, "rule_id", (F.col("at") + 1).cast("long").alias("match_no"), "place.line", "place.column")
+        found.append(texts.join(F.broadcast(other), F.rlike(F.col(_TEXT), F.col("java_pattern"))))
+    starts = let(_pieces(), lambda pieces: match_starts(pieces))
+    # Places are found for each part by itself, so that no text is copied into a union.
+    placed = [part.select(*columns, "rule_id", F.posexplode(starts).alias("at", "place")) for part in found]
+    return reduce(DataFrame.unionByName, placed).select(
+        *columns, "rule_id", (F.col("at") + 1).cast("long").alias("match_no"), "place.line", "place.column"
     )

@@ -100,3 +100,27 @@ def test_what_is_no_rule(spark):
         table = spark.createDataFrame([("BAD", pattern)], "rule_id string, pattern string")
         with pytest.raises(ValueError, match="BAD"):
             scan_rule_table(texts, table)
+
+
+def test_plain_rules_are_cut_out_as_a_scan_finds_them(spark):
+    """Overlaps, line breaks, letters that grow when lowered, signs that mean something to Java."""
+    texts = spark.createDataFrame(
+        [("a", "aa aa aa aa aa\nAA AA aa"), ("b", "İx AA aa aa\n\n  aa aa"), ("c", "ſo Kalt aa aa\\E \n -aa aa-"), ("d", "aa aa﷐aa aa")],
+        "path string, content string",
+    )
+    patterns = ["aa aa", "(?i)aa aa", "(?i)so kalt", "so kalt", "\naa aa", "aa aa\n", "-aa aa-", "aa\\b aa", "aa"]
+    rules = [(f"R{i}", p) for i, p in enumerate(patterns)]
+    table = spark.createDataFrame(rules, "rule_id string, pattern string")
+    compiled = {r.rule_id: r.plain for r in rule_index.compiled_rules(table).collect()}
+    assert compiled == {i: None if "\\" in p else p for i, p in rules}
+    found = scan_rule_table(texts, table)
+    expected = scan(texts, [regex_rule(i, p, "Low") for i, p in rules], snippet=False)
+    assert rows(found) == sorted((r.file_path, r.rule_id, r.line, r.column) for r in expected.collect())
+
+
+def test_long_literals_are_filed_under_long_parts(spark):
+    """Parts of four characters made most texts meet rules whose literal they do not hold."""
+    rules = spark.createDataFrame([("A", "abcdefghij"), ("B", "abcde")], "rule_id string, pattern string")
+    texts = spark.createDataFrame([("abcdefghij abcde",)], ["__folded"])
+    filed = rule_index._filed(rule_index.compiled_rules(rules), texts, rule_index.Scratch(spark))
+    assert {r.rule_id: len(r.gram) for r in filed.collect()} == {"A": 8, "B": 4}

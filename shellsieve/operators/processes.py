@@ -4,6 +4,9 @@ A process is a pid from one birth to the next: pids are used again, and what a l
 depends on the births before it. A birth is the result of a fork or clone; it counts from
 where that call began, since the child may run before its parent hears of it. Processes that
 were there at the start have number 0.
+
+Tables of processes grow with the log, so they are joined by merging: a broadcast would send them
+to the driver, in each step of the way up.
 """
 
 from pyspark.sql import Window
@@ -36,7 +39,7 @@ def numbered_processes(calls, keys=(), places_at_once=PLACES_AT_ONCE):
     stretches = both.groupBy(*keys, "pid", "stretch").agg(F.sum("birth").alias("births")).select(
         *keys, "pid", "stretch", F.coalesce(F.sum("births").over(before), F.lit(0)).alias("earlier")
     )
-    counted = both.withColumn("births", F.sum("birth").over(inside)).join(stretches, [*keys, "pid", "stretch"])
+    counted = both.withColumn("births", F.sum("birth").over(inside)).join(stretches.hint("merge"), [*keys, "pid", "stretch"])
     return counted.select(
         *columns, "birth", (F.col("earlier") + F.col("births")).cast("long").alias("process")
     )
@@ -60,9 +63,10 @@ def process_roots(calls, keys=(), places_at_once=PLACES_AT_ONCE):
     children = found.where("birth = 1").select(*keys, "first_place", F.col("pid").alias("child"), F.col("process").alias("child_process"))
     # A line tells of one birth, so its place names the parent's call.
     parents = _births(found.where("birth = 0"), keys).join(
-        found.where("birth = 0").select(*keys, "pid", "first_place", "process"), [*keys, "pid", "first_place"]
+        found.where("birth = 0").select(*keys, "pid", "first_place", "process").hint("merge"),
+        [*keys, "pid", "first_place"],
     )
-    up = children.join(parents, [*keys, "first_place", "child"]).select(
+    up = children.join(parents.hint("merge"), [*keys, "first_place", "child"]).select(
         *keys, F.col("child").alias("pid"), F.col("child_process").alias("process"),
         F.col("pid").alias("root_pid"), F.col("process").alias("root_process"),
     )
@@ -72,7 +76,7 @@ def process_roots(calls, keys=(), places_at_once=PLACES_AT_ONCE):
             *keys, F.col("pid").alias("root_pid"), F.col("process").alias("root_process"),
             F.col("root_pid").alias("above_pid"), F.col("root_process").alias("above_process"),
         )
-        joined = scratch.stored(up.join(above, [*keys, "root_pid", "root_process"], "left"), "ancestors")
+        joined = scratch.stored(up.join(above.hint("merge"), [*keys, "root_pid", "root_process"], "left"), "ancestors")
         ended = joined.where("above_pid IS NOT NULL").isEmpty()
         up = scratch.stored(
             joined.select(
@@ -84,7 +88,7 @@ def process_roots(calls, keys=(), places_at_once=PLACES_AT_ONCE):
         scratch.drop(keep=[found, up])
         if ended:
             break
-    return found.where("birth = 0").join(up, [*keys, "pid", "process"], "left").select(
+    return found.where("birth = 0").join(up.hint("merge"), [*keys, "pid", "process"], "left").select(
         *columns, "process", F.coalesce("root_pid", "pid").alias("root_pid"),
         F.coalesce("root_process", F.when(F.col("root_pid").isNull(), F.col("process"))).alias("root_process"),
     )

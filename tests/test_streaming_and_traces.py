@@ -1,7 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from shellsieve.operators.processes import process_roots
+from shellsieve.operators.processes import numbered_processes, process_roots
 from shellsieve.operators.scan import scan
 from shellsieve.operators.tracelog import (
     parse_trace, read_trace, trace_calls, trace_calls_stream, trace_summary,
@@ -198,3 +198,17 @@ def test_processes_and_their_roots(spark):
             (place, me, root(me)) for place, me in expected
         ]
     assert process_roots(calls.limit(0)).collect() == []
+
+
+def test_processes_are_not_sent_to_the_driver(spark):
+    """Tables of processes grow with the log; a broadcast of one passes through the driver."""
+    calls = spark.createDataFrame(
+        [(1, 10, "clone", "11"), (2, 11, "fork", "12"), (3, 12, "stat", "0"), (4, 10, "stat", "0")],
+        "first_place long, pid long, syscall string, result string",
+    )
+    rooted = process_roots(calls)
+    for table in (rooted, numbered_processes(calls)):
+        assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.first_place, r.root_pid, r.root_process) for r in rooted.collect()) == [
+        (1, 10, 0), (2, 10, 0), (3, 10, 0), (4, 10, 0)
+    ]

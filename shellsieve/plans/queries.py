@@ -23,7 +23,14 @@ from shellsieve.plans.report import report, write_report
 from shellsieve.plans.sample_scripts import line_sql, nesting_sql, sample_scripts, scripts_with_paths
 from shellsieve.schemas import EVENTS
 from shellsieve.sources.checkpoints import shared_folder
-from shellsieve.sources.files import is_script, read_scripts, table_scripts, with_readable
+from shellsieve.sources.files import (
+    delete_files,
+    is_script,
+    read_scripts,
+    table_scripts,
+    with_readable,
+    write_files,
+)
 from shellsieve.sources.reports import (
     read_findings_table, read_report_findings, write_findings_table,
 )
@@ -372,13 +379,18 @@ def report_json_roundtrip(spark, sf_dir):
     return read_report_findings(spark, folder)
 
 
+def _script_files(spark, sf_dir, name):
+    """The sample scripts as rows (script_id, name, value) of files."""
+    return sample_scripts(spark, sf_dir).select(
+        "script_id", name.alias("name"), F.concat(F.lit("#!/bin/bash\n"), "content", F.lit("\n")).alias("value")
+    )
+
+
 def file_source_scan(spark, sf_dir):
     """The sample scripts as files of a tree, found by their first line."""
     folder = shared_folder(spark, "scripts")
-    files = sample_scripts(spark, sf_dir).select(
-        "script_id", F.concat(F.lit("#!/bin/bash\n"), "content").alias("value")
-    )
-    files.write.partitionBy("script_id").text(folder)
+    name = F.format_string("script_id=%d/part-0.txt", "script_id")
+    write_files(_script_files(spark, sf_dir, name), folder)
     scripts = read_scripts(spark, folder, recursive=True)
     script_id = F.regexp_extract("file_path", "script_id=([0-9]+)/", 1).cast("long")
     return scan(scripts).select(
@@ -389,19 +401,12 @@ def file_source_scan(spark, sf_dir):
 def scan_lost_files(spark, sf_dir):
     """The sample scripts as files, of which each with a number ending in 3 is lost after the listing."""
     folder = shared_folder(spark, "scripts")
-    files = sample_scripts(spark, sf_dir).select(
-        "script_id", F.concat(F.lit("#!/bin/bash\n"), "content").alias("value")
-    )
-    files.write.partitionBy("script_id").text(folder)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    lost = [status.getPath() for status in system.globStatus(path(f"{folder}/script_id=*3/part-*"))]
-    named = [path(file.getParent(), "job.sh") for file in lost]
-    for file, script in zip(lost, named, strict=True):
-        system.rename(file, script)
+    is_lost = F.col("script_id") % 10 == 3
+    file = F.when(is_lost, "job.sh").otherwise("part-0.txt")
+    files = _script_files(spark, sf_dir, F.format_string("script_id=%d/%s", "script_id", file))
+    write_files(files, folder)
     scripts = read_scripts(spark, folder, recursive=True)
-    for script in named:
-        system.delete(script, False)
+    delete_files(files.where(is_lost), folder)
     found = scan(scripts).groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("findings"))
     return scripts.join(found, "path", "left").select(
         F.regexp_extract("path", "script_id=([0-9]+)/", 1).cast("long").alias("script_id"),
@@ -412,11 +417,9 @@ def scan_lost_files(spark, sf_dir):
 def file_source_direct(spark, sf_dir):
     """The sample scripts as files of one folder, next to a folder that is not looked into."""
     folder = shared_folder(spark, "scripts")
-    files = sample_scripts(spark, sf_dir).select(
-        F.concat(F.lit("#!/bin/bash\n"), "content").alias("value")
-    )
+    files = _script_files(spark, sf_dir, F.format_string("part-%d.txt", "script_id"))
     for place in (folder, f"{folder}/nested"):
-        files.write.mode("append").option("maxRecordsPerFile", 1).text(place)
+        write_files(files, place)
     scripts = read_scripts(spark, f"{folder}/./nested/..//")
     return scan(scripts).select("rule_id", "line", "column", "code_snippet")
 

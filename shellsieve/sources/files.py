@@ -1,5 +1,8 @@
 """Scripts from file trees and from columns of tables."""
 
+import uuid
+
+from pyarrow.fs import FileSystem, FileType
 from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import functions as F
 
@@ -49,7 +52,7 @@ def read_scripts(spark, path, recursive=False):
     be listed by name, and ends no scan. One that only its first line would make a script is left
     out. Names starting with '.' or '_' and empty files are not listed by Spark's file sources.
     """
-    path = _qualified(spark, path)
+    path = _qualified(spark, path).toString()
     try:
         files = _files(spark, path, recursive)
     except SparkRuntimeException as error:
@@ -86,11 +89,53 @@ def unreadable_scripts(scripts):
     return scripts.where(~F.col("readable")).select("path")
 
 
+def write_files(files, folder):
+    """Each row of ``files`` (name, value) as a file of that name below ``folder``, a place all machines share.
+
+    The tasks write the files through pyarrow, which knows local and mounted folders, HDFS and the larger
+    object stores: without its native library, Hadoop's local file system starts two processes a file to
+    set its mode. Names are unique. A file takes its name when it is whole, so a task that runs again, or
+    beside another attempt, leaves the same files.
+    """
+
+    uri = _qualified(files.sparkSession, folder).toUri().toString()
+
+    def write(rows):
+        system, root = FileSystem.from_uri(uri)
+        for row in rows:
+            path = f"{root}/{row['name']}"
+            if system.get_file_info(path).type != FileType.NotFound:
+                continue
+            parent = path.rpartition("/")[0]
+            system.create_dir(parent)
+            part = f"{parent}/.{uuid.uuid4().hex}"
+            with system.open_output_stream(part) as out:
+                out.write(row["value"].encode())
+            system.move(part, path)
+
+    files.select("name", "value").foreachPartition(write)
+
+
+def delete_files(names, folder):
+    """Delete the files of ``names`` (name) below ``folder``; one that is gone already is no error."""
+
+    uri = _qualified(names.sparkSession, folder).toUri().toString()
+
+    def delete(rows):
+        system, root = FileSystem.from_uri(uri)
+        for row in rows:
+            path = f"{root}/{row['name']}"
+            if system.get_file_info(path).type != FileType.NotFound:
+                system.delete_file(path)
+
+    names.select("name").foreachPartition(delete)
+
+
 def _qualified(spark, path):
     """``path`` as the file system spells it: absolute, with its scheme, without dots."""
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system.makeQualified(path).toString()
+    return system.makeQualified(path)
 
 
 def _files(spark, path, recursive):

@@ -13,7 +13,8 @@ from shellsieve.operators.findings import by_severity, counts_by_level, numbered
 from shellsieve.plans.report import FORMATS
 from shellsieve.sources import reports
 from shellsieve.sources.checkpoints import checkpoint_root
-from shellsieve.sources.files import read_scripts, table_scripts
+from shellsieve.plans.queries import file_source_direct, file_source_scan, scan_lost_files
+from shellsieve.sources.files import delete_files, read_scripts, table_scripts, write_files
 from shellsieve.sources.rules import check_rules, configured_rules, read_rules
 
 NOW = datetime(2024, 5, 6, 7, 8, 9)
@@ -52,6 +53,32 @@ def test_files(spark, tree):
                        "medium": 4, "low": 0}
 
 
+def test_written_files(spark, tmp_path):
+    """Files appear whole under their names, and a task that runs again leaves them as they are."""
+    folder = str(tmp_path / "a b" / "tree")
+    rows = [(f"k={i}/{'job.sh' if i % 2 else 'part'}", "#!/bin/bash\nrm ü\n") for i in range(40)]
+    files = spark.createDataFrame(rows, "name string, value string").repartition(7)
+    for again in (files, files):
+        write_files(again, folder)
+    assert {p.relative_to(folder).as_posix(): p.read_text() for p in Path(folder).rglob("*") if p.is_file()} == dict(rows)
+    delete_files(files.where("name LIKE '%.sh'"), f"file:{folder}")
+    delete_files(files.where("name LIKE '%1/job.sh'"), folder)
+    assert names(read_scripts(spark, folder, recursive=True)) == sorted(n for n, _ in rows if n.endswith("part"))
+
+
+def test_files_of_queries_start_no_process(spark):
+    """Hadoop starts processes to set a file's mode; the queries write a file per script and start none."""
+    def started():
+        return int(next(x.split()[1] for x in Path("/proc/stat").read_text().splitlines() if x.startswith("processes")))
+
+    for query in (file_source_scan, scan_lost_files, file_source_direct):
+        query(spark, "/root/testdata/sf0.001").count()
+        before = started()
+        assert query(spark, "/root/testdata/sf0.01").count() > 0
+        # 157 scripts took over 900, threads of the JVM and Python workers included.
+        assert started() - before < 600, query.__name__
+
+
 def test_spellings_of_a_path(spark, tree, monkeypatch):
     expected = names(read_scripts(spark, tree))
     for folder in (f"file:{tree}", f"file://{tree}", f"{tree}/", f"{tree}//", f"{tree}/./", f"{tree}/sub/..",

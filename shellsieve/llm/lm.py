@@ -6,12 +6,12 @@ first word of a text scores log c(w) - log N. Logs are rounded to millionths, so
 not depend on their order.
 
 All of it is relational. Words have 64-bit keys and are counted by a grouping. Texts are
-exploded into their pairs, each once a text with its times. Pairs are dealt by hash, a pair's rows
-and those of its first word together, and counted where they are; scores are then summed per
-document. Words that are more than one in ``HOT_SHARE`` of all words do not gather anywhere: a
-pair of two such words is one of at most ``HOT_SHARE`` squared, whose counts are added up in each
-task first and then broadcast; another pair that begins with one is dealt by its second word, and
-the first one's count is broadcast.
+exploded into their pairs, each once a text with its times. Pairs are dealt by hash and grouped to
+a count table, which is joined with the count table of words for the counts of first words; the exploded pairs
+are joined with it, and their gains are summed per document. Where the first word is frequent a pair is dealt by both
+of its words, and the first one's count is broadcast, so that no word gathers anywhere. Words that are more than one in
+``HOT_SHARE`` of all words are hot: pairs of two such words are at most ``HOT_SHARE`` squared, are counted
+in each task first, and their count table is broadcast to the exploded pairs.
 
 What crosses the network is a row for a block of texts, a bucket of the dealing and a kind of pair,
 with the pairs, the places of their texts in the block, and times in lists. The ``NUMBERED`` most
@@ -170,25 +170,26 @@ def _lists(values, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values))
 
 
-def _block_pairs(rows: DataFrame, shared, numbered, hot_gains, buckets: int) -> DataFrame:
-    """The pairs that are not of two hot words, in lists, by block of texts, bucket and kind.
+def _block_pairs(rows: DataFrame, shared, numbered, buckets: int) -> DataFrame:
+    """All pairs in lists, by block of texts, bucket and kind; ``place`` and ``n`` hold their texts and times.
 
-    The kind tells whether ``first_number`` or ``first`` holds the first words, ``second_number`` or
-    ``second`` the second ones; ``place`` and ``n`` hold the texts and times. One more row a block
-    has ``doc`` of its texts: id, digest, number of words, first word, and the sum of what
-    ``hot_gains`` gives for pairs of two hot words. A pair's bucket is that of its first word that is not hot.
+    ``hot`` holds pairs of two hot words, as the place of the first among the hot words times their
+    number, and that of the second. Of other pairs ``first_number`` or ``first`` holds the first words,
+    ``second_number`` or ``second`` the second ones. One more row a block has ``doc`` of its texts: id,
+    digest, number of words, first word. A pair is dealt by both words if the first has a number, else
+    by the first; pairs of hot words stay together, since they need no others of their kind.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
     types = {
         "block": "long", "bucket": "int", "place": "array<short>", "n": "array<int>",
-        "first_number": "array<short>", "second_number": "array<short>", "first": "array<long>",
-        "second": "array<long>",
-        "doc": f"array<struct<doc_id:{kind},digest:long,n_words:long,head:long,gain:long>>",
+        "hot": "array<int>", "first_number": "array<short>", "second_number": "array<short>",
+        "first": "array<long>", "second": "array<long>",
+        "doc": f"array<struct<doc_id:{kind},digest:long,n_words:long,head:long>>",
     }
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, numbers, hot = numbered.value
-        hot_keys, gains = keys[hot], hot_gains.value
+        hot_keys = keys[hot]
         for rows, batch in _batches(batches, shared.value):
             texts = rows.num_rows
             name = xxhash.xxh64(rows.column(1).to_numpy(zero_copy_only=False).tobytes())
@@ -198,48 +199,44 @@ def _block_pairs(rows: DataFrame, shared, numbered, hot_gains, buckets: int) ->
             number = np.append(numbers, np.int16(-1))[at]
             number[np.append(keys, 0)[at] != batch.keys] = -1
             is_hot = (number >= 0) & np.append(hot, False)[at]
+            hot_at = np.searchsorted(hot_keys, batch.keys)
             text, before, word, times = batch.pairs()
-            wanted = ~(is_hot[before] & is_hot[word])
-            gain = np.zeros(texts, np.int64)
-            if len(hot_keys):
-                hot_at = np.minimum(np.searchsorted(hot_keys, batch.keys), len(hot_keys) - 1)
-                np.add.at(gain, text[~wanted], times[~wanted] * gains[hot_at[before[~wanted]], hot_at[word[~wanted]]])
             filled = batch.sizes > 0
             head = np.zeros(texts, np.int64)
             head[filled] = batch.keys[batch.codes[(batch.ends - batch.sizes)[filled]]]
             doc = pa.StructArray.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(batch.sizes), pa.array(head, mask=~filled), pa.array(gain)],
-                ["doc_id", "digest", "n_words", "head", "gain"],
+                [rows.column(0), rows.column(1), pa.array(batch.sizes), pa.array(head, mask=~filled)],
+                ["doc_id", "digest", "n_words", "head"],
             )
-            text, before, word, times = text[wanted], before[wanted], word[wanted], times[wanted]
-            bucket = (batch.keys.view(np.uint64) >> np.uint64(8)) % np.uint64(buckets)
-            bucket = bucket.astype(np.int64)[np.where(is_hot[before], word, before)]
-            group = bucket * 4 + (number[before] < 0) * 2 + (number[word] < 0)
+            far = number < 0
+            dealt = batch.keys.view(np.uint64) >> np.uint64(8)
+            both = dealt[before] + np.where(far[before], np.uint64(0), dealt[word] * np.uint64(0x9E3779B97F4A7C15 >> 8))
+            group = (both % np.uint64(buckets)).astype(np.int64) * 5 + far[before] * 2 + far[word]
+            group = np.where(is_hot[before] & is_hot[word], block % buckets * 5 + 4, group)
             order = np.argsort(group, kind="stable")
             group, text, before, word, times = (x[order] for x in (group, text, before, word, times))
             starts = np.flatnonzero(np.diff(group, prepend=-1))
             sizes, group = np.diff(starts, append=len(group)), group[starts]
             none = np.zeros(len(sizes), np.int64)
 
-            def parted(words: np.ndarray, far: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
-                """Lists of the numbers and of the keys of words; in each row one of them is empty."""
-                is_far = np.repeat(far, sizes)
-                return (
-                    _lists(number[words[~is_far]], np.append(np.where(far, 0, sizes), 0)),
-                    _lists(batch.keys[words[is_far]], np.append(np.where(far, sizes, 0), 0)),
-                )
+            def parted(values, wanted: np.ndarray, *words: np.ndarray) -> pa.ListArray:
+                """Lists of ``values`` of the words in rows that are wanted, else empty ones."""
+                inside = np.repeat(wanted, sizes)
+                return _lists(values(*(w[inside] for w in words)), np.append(np.where(wanted, sizes, 0), 0))
 
-            first_number, first = parted(before, group & 2 > 0)
-            second_number, second = parted(word, group & 1 > 0)
+            kinds = group % 5
             columns = {
                 "block": pa.array(np.full(len(sizes) + 1, block)),
-                "bucket": pa.array(np.append(group // 4, block % buckets).astype(np.int32)),
+                "bucket": pa.array(np.append(group // 5, block % buckets).astype(np.int32)),
                 "place": _lists(np.append(text, np.arange(texts)).astype(np.int16), np.append(sizes, texts)),
                 "n": _lists(times.astype(np.int32), np.append(sizes, 0)),
-                "first_number": first_number,
-                "second_number": second_number,
-                "first": first,
-                "second": second,
+                "hot": parted(
+                    lambda b, w: (hot_at[b] * len(hot_keys) + hot_at[w]).astype(np.int32), kinds == 4, before, word
+                ),
+                "first_number": parted(number.__getitem__, kinds < 2, before),
+                "second_number": parted(number.__getitem__, (kinds == 0) | (kinds == 2), word),
+                "first": parted(batch.keys.__getitem__, (kinds == 2) | (kinds == 3), before),
+                "second": parted(batch.keys.__getitem__, (kinds == 1) | (kinds == 3), word),
                 "doc": _lists(doc, np.append(none, texts)),
             }
             yield pa.RecordBatch.from_arrays([columns[c] for c in types], list(types))
@@ -247,7 +244,7 @@ def _block_pairs(rows: DataFrame, shared, numbered, hot_gains, buckets: int) ->
     return rows.mapInArrow(explode, ", ".join(f"{c} {t}" for c, t in types.items()))
 
 
-def _log(count: Column) -> Column:
+def _log(count: Column | str) -> Column:
     # Counts are one or more, so this rounds halves up; ``round`` goes through decimals for every row.
     return F.floor(F.log(count) * SCALE + 0.5)
 
@@ -296,82 +293,85 @@ def lm_scores(
     follows = frequent["follows"].tolist()
     # At most NUMBERED rows.
     named = spark.createDataFrame(
-        [(k, w, f if h else None) for k, (w, f, h) in enumerate(zip(keys.tolist(), follows, is_hot, strict=True))],
-        "number short, named long, followed_hot long",
+        list(zip(range(len(keys)), keys.tolist(), frequent["follows"].tolist(), strict=True)),
+        "number long, named long, followed_named long",
     )
-    # Fewer than HOT_SHARE rows, by what hot means.
-    hot_words = words.filter(F.col("n") * HOT_SHARE > total)
-    hot_words = F.broadcast(hot_words.withColumnsRenamed({"word": "hot_word", "follows": "hot_follows"}))
+    # Fewer than HOT_SHARE rows, by what hot means, in the order of their keys.
+    hot_rows = frequent.iloc[by_key[is_hot[by_key]]]
+    hot_words = F.broadcast(spark.createDataFrame(
+        [(k, *row) for k, row in enumerate(hot_rows[["word", "n", "follows"]].to_numpy(np.int64).tolist())],
+        "hot_at long, hot_word long, hot_n long, hot_follows long",
+    ))
     alone = _log(F.col("n_alone")) - log_total
 
-    def scored(pairs: DataFrame, *text: str) -> DataFrame:
-        """``text`` and gain of pairs with their count, that of the first word, and n."""
-        seen = pairs.filter((F.col("pair") >= min_count) | F.col("pair").isNull()).select(
-            *text, (F.col("n") * (_log(F.col("pair")) - _log(F.col("followed")))).alias("gain")
-        )
-        if min_count <= 1:
-            return seen
-        rare = pairs.filter(F.col("pair") < min_count)
-        found = rare.join(words.select("word", F.col("n").alias("n_alone")), "word")
-        gain = (F.col("n") * (alone + step_back)).alias("gain")
-        return seen.unionByName(found.select(*text, gain))
-
-    # Gains of pairs of hot words: at most HOT_SHARE squared, about half a million numbers.
-    hot_keys = keys[by_key][is_hot[by_key]]
-    hot_pairs = _hot_counts(rows, shared, numbered).join(hot_words.drop("n"), F.col("before") == F.col("hot_word"))
-    known_hot = hot_words.select(F.col("hot_word").alias("word"), F.col("n").alias("n_alone"))
-    hot_pairs = hot_pairs.join(known_hot, "word").select(
-        "before", "word",
+    # The count table of pairs of hot words: at most HOT_SHARE squared, about half a million rows.
+    firsts = hot_words.select(F.col("hot_word").alias("before"), F.col("hot_at").alias("first_at"), "hot_follows")
+    seconds = hot_words.select(F.col("hot_word").alias("word"), F.col("hot_at").alias("second_at"), "hot_n")
+    hot_pairs = _hot_counts(rows, shared, numbered).join(firsts, "before").join(F.broadcast(seconds), "word").select(
+        (F.col("first_at") * len(hot_rows) + F.col("second_at")).cast("int").alias("hot"),
         F.when(F.col("pair") >= min_count, _log(F.col("pair")) - _log(F.col("hot_follows")))
-        .otherwise(alone + step_back).alias("gain"),
-    ).toPandas()
-    gains = np.zeros((len(hot_keys), len(hot_keys)), np.int64)
-    gains[np.searchsorted(hot_keys, hot_pairs["before"]), np.searchsorted(hot_keys, hot_pairs["word"])] = hot_pairs["gain"]
-    hot_gains = spark.sparkContext.broadcast(gains)
+        .otherwise(_log(F.col("hot_n")) - log_total + step_back).alias("hot_gain"),
+    )
 
     # A number of partitions by words, since packed rows do not show their size.
     buckets = total // PARTITION_WORDS + 1
-    packed = _block_pairs(rows, shared, numbered, hot_gains, buckets).repartitionById(buckets, "bucket")
-    # A text's entry from the row that names its block has a doc and no words or times.
-    at = ["n", "first_number", "second_number", "first", "second", "doc"]
-    entries = packed.select("*", F.posexplode("place").alias("at", "text")).select(
+    packed = _block_pairs(rows, shared, numbered, buckets).repartitionById(buckets, "bucket")
+    # A text's entry from the row that names its block has a doc and no words or times. Both readings
+    # below ask for the same columns, all of which are filled, and so share one shuffle.
+    at = ["n", "hot", "first_number", "second_number", "first", "second", "doc"]
+    packed = packed.filter("bucket IS NOT NULL")
+    listed = F.when(F.expr("block IS NOT NULL AND hot IS NOT NULL AND doc IS NOT NULL"), F.col("place"))
+    entries = packed.select("*", F.posexplode(listed).alias("at", "text")).select(
         "block", "bucket", F.col("text").alias("place"), *(F.get(c, "at").alias(c) for c in at)
     )
-    firsts = named.withColumnsRenamed({"number": "first_number", "named": "first_named"})
-    entries = entries.join(F.broadcast(firsts), "first_number", "left")
-    if min_count > 1:
-        # Rare pairs look up their second words, so these need their keys.
-        seconds = named.select(F.col("number").alias("second_number"), F.col("named").alias("second_named"))
-        entries = entries.join(F.broadcast(seconds), "second_number", "left")
-    else:
-        # A number serves as the key; a word's own key is one of them with a chance of NUMBERED / 2**64.
-        entries = entries.withColumn("second_named", F.col("second_number").cast("long"))
+    # A number serves as the key; a word's own key is one of them with a chance of NUMBERED / 2**64.
     entries = entries.select(
-        "block", "bucket", "place", "n", "doc", "followed_hot",
-        F.coalesce("first", "first_named").alias("before"),
-        F.coalesce("second", "second_named").alias("word"),
+        "block", "bucket", "place", "n", "doc", "hot",
+        F.coalesce("first", F.col("first_number").cast("long")).alias("before"),
+        F.coalesce("second", F.col("second_number").cast("long")).alias("word"),
+    )
+    # The count table of all other pairs, with what an occurrence gains, dealt as the pairs are.
+    counts = entries.filter("word IS NOT NULL").groupBy("bucket", "before", "word").agg(F.sum("n").alias("pair"))
+    counts = counts.join(F.broadcast(named.select(F.col("number").alias("before"), "followed_named")), "before", "left")
+    dealt = F.expr(f"cast(shiftrightunsigned(word, 8) % {buckets} as int)")
+    by_first = words.select(
+        dealt.alias("bucket"), F.col("word").alias("before"), F.col("follows").alias("followed_far")
+    ).repartitionById(buckets, "bucket")
+    counts = counts.join(by_first.hint("shuffle_hash"), ["bucket", "before"], "left")
+    seen = F.when(F.col("pair") >= min_count, _log("pair") - _log(F.coalesce("followed_named", "followed_far")))
+    counts = counts.select("bucket", "before", "word", seen.alias("gain"))
+    # Pairs differ within a bucket and so many fit into it; ``counts`` is the side that is held.
+    joined = entries.join(F.broadcast(hot_pairs), "hot", "left").join(
+        counts.hint("shuffle_hash"), ["bucket", "before", "word"], "left"
     )
-    # Sorted by the key first, whose bits tell rows apart; the bucket is the same in a partition.
-    entries = entries.withColumn("pair", F.sum("n").over(Window.partitionBy("before", "bucket", "word")))
-    entries = entries.withColumn("followed", F.sum("n").over(Window.partitionBy("before", "bucket")))
-    entries = entries.withColumn("followed", F.coalesce("followed_hot", "followed"))
+    joined = joined.withColumn("gain", F.col("n") * F.coalesce("gain", "hot_gain"))
+    scored = joined.select("block", "place", "doc", "gain")
+    if min_count > 1:
+        rare = joined.filter("word IS NOT NULL AND gain IS NULL")
+        rare = rare.join(F.broadcast(named.select(F.col("number").alias("word"), "named")), "word", "left")
+        found = rare.withColumn("word", F.coalesce("named", "word")).join(
+            words.select("word", F.col("n").alias("n_alone")), "word"
+        )
+        scored = scored.unionByName(
+            found.select("block", "place", "doc", (F.col("n") * (alone + step_back)).alias("gain"))
+        )
     # Blocks that are copies of each other have one name and gather their texts and gains together.
     sums = {
         "doc_id": F.max("doc.doc_id"), "digest": F.max("doc.digest"), "n_words": F.max("doc.n_words"),
         "head": F.max("doc.head"), "rows": F.count("doc"),
-        "gain": F.coalesce(F.sum("gain"), F.lit(0)) + F.sum("doc.gain"),
+        "gain": F.coalesce(F.sum("gain"), F.lit(0)),
     }
-    texts = scored(entries, "block", "place", "doc").groupBy("block", "place").agg(
+    texts = scored.groupBy("block", "place").agg(
         *(value.alias(name) for name, value in sums.items())
     )
     texts = scratch.stored(texts.drop("block", "place"), "texts")
 
-    texts = texts.join(hot_words.drop("hot_follows"), F.col("head") == F.col("hot_word"), "left")
+    texts = texts.join(hot_words, F.col("head") == F.col("hot_word"), "left")
     by_word = words.select(F.col("word").alias("head"), F.col("n").alias("n_alone"))
     columns = ["doc_id", "digest", "n_words", "rows", "gain", "n_alone"]
-    texts = texts.filter("n IS NOT NULL OR head IS NULL").withColumnRenamed("n", "n_alone").select(
+    texts = texts.filter("hot_n IS NOT NULL OR head IS NULL").withColumnRenamed("hot_n", "n_alone").select(
         columns
-    ).unionByName(texts.filter("n IS NULL AND head IS NOT NULL").join(by_word, "head").select(columns))
+    ).unionByName(texts.filter("hot_n IS NULL AND head IS NOT NULL").join(by_word, "head").select(columns))
     gains = texts.withColumn("gain", F.col("gain") + F.col("rows") * F.coalesce(alone, F.lit(0)))
     # Rows that share id and text have gathered their gains together.
     found = gains.groupBy("doc_id", "digest").agg(

@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import re
 
 import pytest
 
@@ -79,3 +80,24 @@ def test_ids_of_text(docs_of):
 def test_empty_tables(docs_of):
     assert lm_scores(docs_of([])).collect() == []
     assert [tuple(r) for r in lm_scores(docs_of([(1, None)])).collect()] == [(1, 0, 0)]
+
+
+def test_pairs_are_joined_with_count_tables(docs_of, monkeypatch):
+    """Exploded pairs, hot ones too, meet grouped count tables in joins; both readings share one shuffle."""
+    plans, stored = {}, lm.Scratch.stored
+
+    def keep(self, df, purpose):
+        plans[purpose] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(self, df, purpose)
+
+    monkeypatch.setattr(lm.Scratch, "stored", keep)
+    monkeypatch.setattr(lm, "HOT_SHARE", 4)
+    monkeypatch.setattr(lm, "PARTITION_WORDS", 3)
+    rows = [(1, "a b a c"), (2, "b d a b")]
+    assert sorted(map(tuple, lm_scores(docs_of(rows)).collect())) == model(rows, 100, 1)
+    plan = plans["texts"]
+    assert "Window" not in plan
+    assert re.search(r"BroadcastHashJoin \[hot#", plan)
+    assert re.search(r"ShuffledHashJoin \[bucket#\w+, before#\w+, word#\w+\]", plan)
+    packed = re.findall(r"Exchange shufflepartition\w*.*\n\W*(Filter isnotnull\(bucket).*\n\W*MapInArrow explode", plan)
+    assert len(packed) == 2

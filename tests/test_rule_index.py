@@ -1,13 +1,14 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from shellsieve import scan
 from shellsieve.catalog import regex_rule
 from shellsieve.functions.literals import required_literal
-from shellsieve.operators import rule_index
+from shellsieve.operators import literal_search, rule_index
 from shellsieve.operators.rule_index import scan_rule_table
 
 LITERALS = [
@@ -124,3 +125,68 @@ def test_long_literals_are_filed_under_long_parts(spark):
     texts = spark.createDataFrame([("abcdefghij abcde",)], ["__folded"])
     filed = rule_index._filed(rule_index.compiled_rules(rules), texts, rule_index.Scratch(spark))
     assert {r.rule_id: len(r.gram) for r in filed.collect()} == {"A": 8, "B": 4}
+
+
+def test_short_literals_are_filed_too(spark):
+    """Rules with a literal of fewer than four characters were tried on every text."""
+    rules = spark.createDataFrame([("A", "ab"), ("B", "(?i)x y"), ("C", "q[0-9]"), ("D", "zz")], "rule_id string, pattern string")
+    texts = spark.createDataFrame([("ab X Y q7",)], ["text"])
+    filed = rule_index._filed(rule_index.compiled_rules(rules), texts, rule_index.Scratch(spark))
+    assert {r.rule_id: r.gram for r in filed.collect()} == {"A": "ab", "B": "x y", "C": "q"}
+
+
+def test_places_are_told_by_the_bytes_of_a_text(spark):
+    """Texts are searched as bytes, some together; a place is still one of characters in its own text."""
+    parts = [b"aa aa", b"AA", b" aa\n", "ſK".encode(), "éİ".encode(), b"\xff\xc3", b"sk Sk", b"", "﷐".encode()]
+    rng = random.Random(7)
+    texts = [(i, bytearray(b"".join(rng.choices(parts, k=rng.randint(0, 12))))) for i in range(300)]
+    # Bytes that are no text are what a pattern takes them for.
+    texts = spark.createDataFrame(texts, "id int, b binary").select(
+        F.col("id").cast("string").alias("path"), F.col("b").cast("string").alias("content")
+    )
+    patterns = ["aa", "(?i)aa", "(?i)aa aa", "sk", "(?i)sk", "(?i)k s", "k[ \n]?S", "a", "(?i)aa aaaa", "\naa aa", "(?i)sksksksk"]
+    rules = [(f"R{i}", p) for i, p in enumerate(patterns)]
+    found = rows(scan_rule_table(texts, spark.createDataFrame(rules, "rule_id string, pattern string")))
+    expected = scan(texts, [regex_rule(i, p, "Low") for i, p in rules], snippet=False)
+    assert found == sorted((r.file_path, r.rule_id, r.line, r.column) for r in expected.collect())
+    assert len({rule for _, rule, _, _ in found}) >= 10
+
+
+def test_search_equals_one_by_one(monkeypatch):
+    rng = random.Random(5)
+    for letters in ("ab", "abAB \n", "asſkKKSé\n İ", "abcdefgh \n"):
+        for chunk, group, pairs in ((3, 1, 1), (16, 30, 5), (1 << 15, 1 << 22, 1 << 20)):
+            monkeypatch.setattr(literal_search, "_CHUNK", chunk)
+            monkeypatch.setattr(literal_search, "_GROUP", group)
+            monkeypatch.setattr(literal_search, "_PAIRS", pairs)
+            texts = ["".join(rng.choices(letters, k=rng.randint(0, 80))) for _ in range(8)]
+            ascii_letters = [c for c in letters if c.isascii()]
+            plain = {"".join(rng.choices(ascii_letters, k=rng.choice([1, 2, 3, 4, 7, 8, 9, 16, 25]))) for _ in range(30)}
+            plain |= {t[i:j] for t in texts for i in (0, 9) for j in (11, 30) if t[i:j] and t[i:j].isascii()}
+            plain = sorted(plain)
+            literals, kinds = [folded_text(p) for p in plain], [rng.choice(["", "(?i)", None]) for _ in plain]
+            starts = [rng.randint(0, len(x) - literal_search.part_size(len(x))) for x in literals]
+            search = literal_search.Literals(
+                range(len(plain)), [x[i:i + literal_search.part_size(len(x))] for x, i in zip(literals, starts)], literals,
+                [None if kind is None else kind + p for p, kind in zip(plain, kinds)],
+            )
+            found = search.search(pa.array(["before", *texts], pa.string()).slice(1)).to_pylist()
+            assert found == [
+                [hit for n, p in enumerate(plain) if (hit := one_by_one(n, t, p, literals[n], kinds[n]))] for t in texts
+            ]
+
+
+def folded_text(text):
+    return "".join({"ſ": "s", "K": "k"}.get(c, c.lower() if c.isascii() else c) for c in text)
+
+
+def one_by_one(number, text, plain, literal, kind):
+    low = folded_text(text)
+    if kind is None:
+        return {"number": number, "starts": None} if literal in low else None
+    where, what, starts = (low, literal, []) if kind else (text, plain, [])
+    at = where.find(what)
+    while at >= 0:
+        starts.append({"line": text.count("\n", 0, at) + 1, "column": at - text.rfind("\n", 0, at)})
+        at = where.find(what, at + len(what))
+    return {"number": number, "starts": starts} if starts else None

@@ -70,12 +70,13 @@ class Parts:
 
     def __init__(self, size, keys):
         bits = min(max(12, (16 * len(keys)).bit_length()), 24)
-        self.mask, self.shift = np.uint64((1 << 8 * size) - 1), np.uint64(64 - bits)
+        self.size, self.mask, self.shift = size, np.uint64((1 << 8 * size) - 1), np.uint64(64 - bits)
         slots = self._slots(keys)
         order = np.argsort(slots, kind="stable")
         self.keys, self.ids = keys[order], order
         self.first = np.searchsorted(slots[order], np.arange((1 << bits) + 1))
-        self.held = np.diff(self.first) > 0
+        held = np.diff(self.first)
+        self.held, self.shared = held > 0, held > 1
 
     def _slots(self, keys):
         slots = keys * _SPREAD
@@ -84,19 +85,23 @@ class Parts:
 
     def found(self, numbers):
         """Where in ``numbers`` parts stand, and which of them."""
-        numbers = numbers & self.mask
+        if self.size < 8:
+            numbers = numbers & self.mask
         slots = self._slots(numbers)
         places = np.flatnonzero(self.held.take(slots, mode="clip"))
         keys, slots = numbers[places], slots[places]
-        entry, end = self.first[slots], self.first[slots + 1]
-        which, rest = np.full(len(places), -1), np.arange(len(places))
+        entry = self.first[slots]
+        hit = self.keys[entry] == keys
+        which = self.ids[entry]
+        # Another part of the slot may be the one.
+        rest = np.flatnonzero(~hit & self.shared[slots])
+        entry, end = entry[rest] + 1, self.first[slots[rest] + 1]
         while len(rest):
             same = self.keys[entry] == keys[rest]
-            which[rest[same]] = self.ids[entry[same]]
+            which[rest[same]], hit[rest[same]] = self.ids[entry[same]], True
             entry += 1
-            on = ~same & (entry < end[rest])
-            rest, entry = rest[on], entry[on]
-        hit = which >= 0
+            on = ~same & (entry < end)
+            rest, entry, end = rest[on], entry[on], end[on]
         return places[hit], which[hit]
 
 
@@ -143,13 +148,12 @@ class Literals:
         self.at = np.array([literal.index(part) for part, literal in zip(parts, literals)], np.int64)
         self.plain = np.array([text is not None for text in plain], bool)
         self.exact = np.array([text is not None and not text.startswith(b"(?i)") for text in plain], bool)
-        # A literal as the numbers at some of its places, which cover it.
-        words = [_covering(len(literal)) for literal in literals]
-        self.n_words = np.array([len(at) for at in words], np.int64)
-        self.first_word = np.cumsum(self.n_words) - self.n_words
-        self.word_at = np.array([i for at in words for i in at], np.int64)
-        self.words = _words(literals, words)
-        self.exact_words = _words([text if exact else literal for text, exact, literal in zip(plain, self.exact, literals)], words)
+        # What is left to compare once the part is found; all of it where case matters, in the text as given.
+        self.folded_words = _Words([
+            [] if exact else [word for word in _words(literal) if word != (at, part)]
+            for literal, at, part, exact in zip(literals, self.at.tolist(), parts, self.exact)
+        ])
+        self.exact_words = _Words([_words(text) if exact else [] for text, exact in zip(plain, self.exact)])
         sizes, keys = np.array([len(part) for part in parts], np.int64), part_keys(parts)
         self.tables = []
         for size in SIZES:
@@ -167,7 +171,8 @@ class Literals:
         those that a search from the left finds; NULL for others.
         """
         found = [self._in_group(data, offsets) for data, offsets in groups_of(array)]
-        in_text, rules, n_starts, line, column = (np.concatenate([np.zeros(0, np.int64), *part]) for part in zip(*found)) if found else (np.zeros(0, np.int64),) * 5
+        none = (np.zeros(0, np.int64),) * 5
+        in_text, rules, n_starts, line, column = (np.concatenate(part) for part in zip(none, *found))
         starts = pa.ListArray.from_arrays(
             pa.array(_offsets(n_starts), pa.int32()),
             pa.StructArray.from_arrays([pa.array(line), pa.array(column)], ["line", "column"]),
@@ -204,43 +209,48 @@ class Literals:
                 for at, rules in _pairs(at + start, which, filed, first):
                     at = at - self.at[rules]
                     at, rules = _where((at >= 0) & (at + self.lengths[rules] <= len(low)), at, rules)
-                    at, rules = _where(self._held(numbers, at, rules, self.words, table.mask), at, rules)
+                    at, rules = _where(self.folded_words.held(numbers, at, rules), at, rules)
+                    as_given = at if back is None else back[at]
+                    at, rules = _where(self.exact_words.held(given, as_given, rules), at, rules)
                     texts = np.searchsorted(ends, at, "right") - 1
-                    at, rules, texts = _where(at + self.lengths[rules] <= ends[texts + 1], at, rules, texts)
-                    same = ~self.exact[rules]
-                    exact = np.flatnonzero(~same)
-                    as_given = at[exact] if back is None else back[at[exact]]
-                    same[exact] = self._held(given, as_given, rules[exact], self.exact_words, table.mask)
+                    same = at + self.lengths[rules] <= ends[texts + 1]
                     out.append(_where(same, texts, rules, at))
         return (np.concatenate(part) for part in zip(*out))
 
-    def _held(self, numbers, places, rules, words, mask):
-        """Whether the whole literal stands at each place."""
-        held, rest, n = np.ones(len(places), bool), np.arange(len(places)), 0
+
+class _Words:
+    """For each literal some words of at most eight bytes, with their places in it."""
+
+    def __init__(self, words):
+        self.n = np.array([len(some) for some in words], np.int64)
+        self.first = np.cumsum(self.n) - self.n
+        self.at = np.array([at for some in words for at, _ in some], np.int64)
+        self.keys = part_keys([word for some in words for _, word in some])
+        self.masks = np.array([(1 << 8 * len(word)) - 1 for some in words for _, word in some], np.uint64)
+
+    def held(self, numbers, places, literals):
+        """Whether the words of each of ``literals`` stand at its place."""
+        held, rest, n = np.ones(len(places), bool), np.flatnonzero(self.n[literals]), 0
         while len(rest):
-            word = self.first_word[rules[rest]] + n
-            same = (numbers[places[rest] + self.word_at[word]] & mask) == words[word]
+            word = self.first[literals[rest]] + n
+            same = (numbers[places[rest] + self.at[word]] & self.masks[word]) == self.keys[word]
             held[rest[~same]] = False
             n += 1
-            rest = rest[same & (self.n_words[rules[rest]] > n)]
+            rest = rest[same]
+            rest = rest[self.n[literals[rest]] > n]
         return held
 
 
-def _covering(length):
-    size = part_size(length)
-    return [min(at, length - size) for at in range(0, length, size)]
-
-
-def _words(literals, places):
-    out = []
-    for literal, at in zip(literals, places):
-        size = part_size(len(literal))
-        out += [literal[i:i + size] for i in at]
-    return part_keys(out)
+def _words(literal):
+    """Words that cover a literal: eight bytes long, or one of all it has."""
+    last = max(len(literal) - 8, 0)
+    return [(at, literal[at:at + 8]) for at in (*range(0, last, 8), last)]
 
 
 def _offsets(sizes):
-    return np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=out[1:])
+    return out
 
 
 def _where(kept, *arrays):
@@ -249,7 +259,11 @@ def _where(kept, *arrays):
 
 def _pairs(at, which, filed, first):
     """Places and the literals filed under the part that stands there, some at once."""
-    sizes = first[which + 1] - first[which]
+    begins = first[which]
+    sizes = first[which + 1] - begins
+    if sizes.max(initial=0) == 1:
+        yield at, filed[begins]
+        return
     ends = np.cumsum(sizes)
     begin = 0
     while begin < len(at):
@@ -257,7 +271,7 @@ def _pairs(at, which, filed, first):
         end = max(begin + 1, int(np.searchsorted(ends, done + _PAIRS, "right")))
         n = sizes[begin:end]
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        yield np.repeat(at[begin:end], n), filed[np.repeat(first[which[begin:end]], n) + within]
+        yield np.repeat(at[begin:end], n), filed[np.repeat(begins[begin:end], n) + within]
         begin = end
 
 

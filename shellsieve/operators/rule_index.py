@@ -166,7 +166,8 @@ def _found_by_literal(texts, filed, columns, pattern_starts):
     """rule_id and ``starts`` of the matches of each rule of ``filed`` in each text that holds its literal."""
     spark = texts.sparkSession
     rules = filed.select("number", "gram", "literal", "plain").collect()
-    shared = spark.sparkContext.broadcast(Literals(*(list(part) for part in zip(*rules))) if rules else Literals([], [], [], []))
+    literals = Literals(*([rule[i] for rule in rules] for i in range(4)))
+    shared = spark.sparkContext.broadcast(literals)
 
     @F.arrow_udf("array<struct<number: bigint, starts: array<struct<line: bigint, column: bigint>>>>")
     def search(texts: pa.Array) -> pa.Array:

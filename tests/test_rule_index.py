@@ -130,7 +130,7 @@ def test_long_literals_are_filed_under_long_parts(spark):
 def test_short_literals_are_filed_too(spark):
     """Rules with a literal of fewer than four characters were tried on every text."""
     rules = spark.createDataFrame([("A", "ab"), ("B", "(?i)x y"), ("C", "q[0-9]"), ("D", "zz")], "rule_id string, pattern string")
-    texts = spark.createDataFrame([("ab X Y q7",)], ["text"])
+    texts = spark.createDataFrame([("ab x y q7",)], ["__folded"])
     filed = rule_index._filed(rule_index.compiled_rules(rules), texts, rule_index.Scratch(spark))
     assert {r.rule_id: r.gram for r in filed.collect()} == {"A": "ab", "B": "x y", "C": "q"}
 
@@ -163,6 +163,9 @@ def test_search_equals_one_by_one(monkeypatch):
             ascii_letters = [c for c in letters if c.isascii()]
             plain = {"".join(rng.choices(ascii_letters, k=rng.choice([1, 2, 3, 4, 7, 8, 9, 16, 25]))) for _ in range(30)}
             plain |= {t[i:j] for t in texts for i in (0, 9) for j in (11, 30) if t[i:j] and t[i:j].isascii()}
+            # Parts that a literal holds twice.
+            plain |= {"a" * 16, "ab" * 8, "abcdefgh a abcdefgh"}
+            texts += ["a" * 15, "a" * 33, "ab" * 7, "ab" * 9 + "a" * 8, "abcdefgh a abcdefgh", "abcdefgh b abcdefgh"]
             plain = sorted(plain)
             literals, kinds = [folded_text(p) for p in plain], [rng.choice(["", "(?i)", None]) for _ in plain]
             starts = [rng.randint(0, len(x) - literal_search.part_size(len(x))) for x in literals]
